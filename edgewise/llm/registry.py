@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgewise.llm import mixing, url_filter
+from edgewise.llm import mixing, pii, url_filter
 
-QUERIES = {**mixing.QUERIES, **url_filter.QUERIES}
-SQL = {**mixing.SQL, **url_filter.SQL}
+QUERIES = {**mixing.QUERIES, **pii.QUERIES, **url_filter.QUERIES}
+SQL = {**mixing.SQL, **pii.SQL, **url_filter.SQL}
