@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgewise.llm import mixing, pii, url_filter
+from edgewise.llm import bpe, mixing, pii, url_filter
 
-QUERIES = {**mixing.QUERIES, **pii.QUERIES, **url_filter.QUERIES}
-SQL = {**mixing.SQL, **pii.SQL, **url_filter.SQL}
+QUERIES = {**bpe.QUERIES, **mixing.QUERIES, **pii.QUERIES, **url_filter.QUERIES}
+SQL = {**bpe.SQL, **mixing.SQL, **pii.SQL, **url_filter.SQL}
