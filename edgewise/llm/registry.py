@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from edgewise.llm import bpe, mixing, pii, url_filter
+from edgewise.llm import bpe, mixing, ngram_join, pii, toxicity, url_filter
 
-QUERIES = {**bpe.QUERIES, **mixing.QUERIES, **pii.QUERIES, **url_filter.QUERIES}
-SQL = {**bpe.SQL, **mixing.SQL, **pii.SQL, **url_filter.SQL}
+MODULES = (mixing, bpe, pii, toxicity, url_filter, ngram_join)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
