@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +183,6 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     ``path`` is read on the executors, where the tokenizer package is installed; only the path
     travels with the job.
     """
-    import pandas as pd
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -194,7 +195,6 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
 
 def decode_column(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that the token ids stand for; null ids give null."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def joined(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -207,9 +207,8 @@ def decode_column(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids"
 
 def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: a round trip of each text in one pass, without keeping the ids."""
-    import hashlib
 
-    import pandas as pd
+
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)

@@ -23,6 +23,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,6 @@ def minima_of(grams: np.ndarray, count: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, depth: int, trees: int, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """(doc_id, grams, digest, prefixes, sig): one row a document."""
-    import pandas as pd
     import xxhash
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +117,6 @@ def signatures(docs: DataFrame, depth: int, trees: int, id_col: str = "doc_id",
 
 def grouped(frames: Iterator, keys: list[str]) -> Iterator:
     """Frames of one key each, from frames whose rows are sorted by key."""
-    import pandas as pd
 
     held, held_key = [], None
     for frame in frames:
@@ -183,7 +182,6 @@ def in_blocks(rows: DataFrame, key: str, id_col: str, count: str, most: int) ->
 
 def candidate_groups(classes: DataFrame, least: float) -> DataFrame:
     """(id, component) of classes that have a candidate, from (rep, prefixes, sig)."""
-    import pandas as pd
 
     rows = classes.select("rep", F.explode("prefixes").alias("prefix"))
     shared = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -246,7 +244,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     ``class_id`` is the smallest id reachable over links, ``n_links`` the number of other rows at or
     above the threshold, copies included.
     """
-    import pandas as pd
 
     depth, trees = forest_shape(threshold)
     signed = materialize(signatures(docs, depth, trees, id_col, text_col, size))

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +155,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, most: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with held_out, score and predicted; the model is learnt from ``train_docs`` (``docs`` by default)."""
-    import pandas as pd
 
     rows = training_rows(train_docs if train_docs is not None else docs, labels, most).toPandas().sort_values(["doc_id", "text"])
     rows = rows.head(2 * most)  # ids are not always unique
