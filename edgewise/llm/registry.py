@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from edgewise.llm import bpe, mixing, ngram_join, pii, toxicity, url_filter
+from edgewise.llm import bpe, mixing, ngram_join, pii, spotsigs, toxicity, url_filter
 
-MODULES = (mixing, bpe, pii, toxicity, url_filter, ngram_join)
+MODULES = (mixing, bpe, pii, toxicity, url_filter, spotsigs, ngram_join)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
