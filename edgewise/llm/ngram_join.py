@@ -141,21 +141,23 @@ def grouped(frames: Iterator, keys: list[str]) -> Iterator:
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def roots_of(n: int, pairs: np.ndarray) -> list[int]:
+def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
     """By index: the smallest index in its component."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pairs.tolist():
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
+    label = np.arange(n)
+    if not len(pairs):
+        return label
+    a, b = pairs[:, 0], pairs[:, 1]
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)  # the old roots follow, so long chains close quickly
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _similar(sigs: np.ndarray, least: float) -> np.ndarray:
@@ -199,7 +201,7 @@ def candidate_groups(classes: DataFrame, least: float) -> DataFrame:
             if near.all():
                 kept.append(np.stack([ids[1:], ids[:-1]], 1))
             elif len(ids) > 2:
-                root = np.asarray(roots_of(len(ids), _similar(sigs, least)))
+                root = roots_of(len(ids), _similar(sigs, least))
                 tied = root != np.arange(len(ids))
                 kept.append(np.stack([ids[tied], ids[root[tied]]], 1))
             if len(kept) >= 5000:
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
                 continue
             pairs = exact_links([shingler.grams(t) for t in g["text"]], side, threshold)
             links = np.bincount(pairs[:, 0], copies[pairs[:, 1]], len(ids)) + np.bincount(pairs[:, 1], copies[pairs[:, 0]], len(ids))
-            root = np.asarray(roots_of(len(ids), pairs))
+            root = roots_of(len(ids), pairs)
             has = links > 0
             if has.any():
                 out.append(pd.DataFrame({"rep": ids[has], "links": links[has].astype(np.int64), "root": ids[root[has]], "parted": bool(g["blocks"].iat[0] > 1)}))
