@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from edgewise.plans.queries import QUERIES
+from edgewise.plans.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
