@@ -7,12 +7,13 @@ id. Which strings repeat is read off repeated intervals of a merged transform:
    content have equal keys, and neighbours mostly share theirs, so a text falls into fragments of
    one key, each with all the bytes of its windows. Keys that occur in one document only are left
    out; nothing that repeats is lost.
-2. Equal fragments are folded into one with its smallest document id. Fragments are dealt out by key.
+2. Equal texts, and then equal fragments, are folded into one with its smallest document id. Fragments are dealt out by key.
 3. In a task, fragments form shards. Each shard is suffix-sorted once and gives its transform. The
    transforms are merged by refining their interleave: starting from the order by no byte at all,
-   each round reorders by one more byte with a stable counting sort of the transforms' symbols,
-   and block borders appear where the common prefix ends. After ``WINDOW`` rounds the blocks are the
-   intervals of suffixes with a common prefix of ``WINDOW`` bytes. No suffix is sorted again.
+   each round reorders by the word before with a stable counting sort of the transforms' symbols,
+   and block borders appear where the common prefix ends. Once the rounds add up to ``WINDOW`` bytes
+   the blocks are the intervals of suffixes with a common prefix of that length. No suffix is sorted
+   again. A key that has one fragment left has nothing to merge with.
 4. The smallest id of each interval decides about its windows; spans go back to the documents.
 
 Only fragments and spans are shuffled. The number of groups follows the bytes of the input, so a
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewise.session import materialize, release
+from edgewise.session import release, stored
 
 WINDOW = 50
 GRAM = 16
@@ -93,44 +94,62 @@ def fragments(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
-def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Positions of a cyclic text, ordered by the 64 bytes from each on; ties in any order."""
-    n = len(data)
-    rank, step = None, 8
-    key = words_at(np.ascontiguousarray(np.concatenate([data, np.resize(data, 7)])), ">")
+def dense(values: np.ndarray) -> np.ndarray:
+    """Ranks of values, equal ones alike."""
+    order = np.argsort(values)
+    ordered = values[order]
+    rank = np.empty(len(values), np.uint32)
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return rank
+
+
+def suffix_order(words: np.ndarray) -> np.ndarray:
+    """Positions of a cyclic text, ordered by the 64 bytes from each on; ties in any order.
+
+    ``words`` ranks the eight bytes from each position on; ranks of twice the length come from pairs.
+    """
+    rank, step = words, 8
     while True:
-        order = np.argsort(key)
-        if step >= 64:
-            return order
-        ordered = key[order]
-        rank = np.empty(n, U)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(U)
-        key = (rank << U(32)) | np.roll(rank, -step)
+        key = (rank.astype(U) << U(32)) | np.roll(rank, -step)
         step *= 2
+        if step == 64:
+            return np.argsort(key)
+        rank = dense(key)
+
+
+def sorted_by(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of symbols under 2^32, by a counting sort of each half."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (symbols >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
 def merged_intervals(shards: list[np.ndarray], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(position, block): all suffixes of the shards in merged order, positions counted over the shards
-    one after the other, and for each the number of its interval of suffixes with ``depth`` bytes in common."""
-    orders = [suffix_order(s) for s in shards]
-    transforms = [s[o - 1] for s, o in zip(shards, orders, strict=True)]
+    one after the other, and for each the number of its interval of suffixes with ``depth`` bytes in common.
+
+    A shard's transform holds, in suffix order, what comes before each suffix. Symbols are words of eight
+    bytes, and of single bytes for what is left of the depth, so a round refines by a whole word.
+    """
     sizes = [len(s) for s in shards]
+    ends = np.cumsum(sizes)
+    wide = dense(np.concatenate([words_at(np.concatenate([s, np.resize(s, 7)]), ">") for s in shards]))
+    words = np.split(wide, ends[:-1])
+    orders = [suffix_order(w) for w in words]
+    steps = [(8, [w[o - 8] for w, o in zip(words, orders, strict=True)])] * (depth // 8)
+    steps += [(1, [s[o - 1].astype(np.uint32) for s, o in zip(shards, orders, strict=True)])] * (depth % 8)
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
     block = np.zeros(len(source), np.int32)
-    symbol = np.empty(len(source), np.uint8)
-    blocks = 1
-    for _ in range(depth):
+    symbol = np.empty(len(source), np.uint32)
+    for _, transforms in steps:
         for s, transform in enumerate(transforms):
             symbol[source == s] = transform
-        by_symbol = np.argsort(symbol, kind="stable")
+        by_symbol = sorted_by(symbol)
         source, block, symbols = source[by_symbol], block[by_symbol], symbol[by_symbol]
         border = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
         block = np.concatenate([[0], np.cumsum(border, dtype=np.int32)]).astype(np.int32)
-        if block[-1] + 1 == blocks:
-            break  # no interval split: none will
-        blocks = int(block[-1]) + 1
     position = np.empty(len(source), np.int64)
-    for s, (order, before) in enumerate(zip(orders, np.cumsum([0, *sizes[:-1]]), strict=True)):
+    for s, (order, before) in enumerate(zip(orders, ends - sizes, strict=True)):
         position[source == s] = order + before
     return position, block
 
@@ -177,18 +196,44 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def once_a_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text of a task once, and at the end the smallest document of those texts that came again."""
+    smallest: dict[tuple, int] = {}
+    again: set[tuple] = set()
+    for frame in frames:
+        fresh = np.zeros(len(frame), bool)
+        for k, (doc, *text) in enumerate(zip(frame["doc"].tolist(), frame["mark"].tolist(), frame["mark2"].tolist(), strict=True)):
+            mark = tuple(text)
+            if mark not in smallest:
+                smallest[mark], fresh[k] = doc, True
+            elif doc < smallest[mark]:
+                smallest[mark] = doc
+                again.add(mark)
+        yield frame[fresh]
+    if again:
+        yield pd.DataFrame([(smallest[m], *m, None) for m in again], columns=["doc", "mark", "mark2", "data"])
+
+
+def folded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row a text, of its smallest document, from rows of which some have no data."""
+    doc = pdf.groupby(["mark", "mark2"])["doc"].transform("min")
+    return pdf.assign(doc=doc)[pdf["data"].notna()].drop_duplicates(["mark", "mark2"])
+
+
 def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, mark, start, key, part) of the fragments whose key occurs in two documents or more.
+    """(doc, mark, mark2, start, key, part) of the fragments whose key occurs in two different texts or more.
 
-    ``docs`` has (doc, mark, data). Keys meet packed by (group of documents, part of the key space),
-    a number of rows that does not follow the documents.
+    ``docs`` has (doc, mark, mark2, data), marks standing for the text. Equal texts are folded inside tasks
+    before the shuffle, and then by group. Keys meet packed by (group of texts, part of the key space), a
+    number of rows that does not follow the documents.
     """
     size = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     groups = max(8, -(-size // GROUP_BYTES))
-    dealt = docs.withColumn("g", F.pmod(F.hash("doc", "mark"), F.lit(groups)).cast("int")).repartition(groups, "g")
+    texts_once = docs.mapInPandas(once_a_task, "doc long, mark long, mark2 long, data binary")
+    dealt = texts_once.withColumn("g", F.pmod("mark", F.lit(groups)).cast("int")).repartition(groups, "g")
 
     def keys_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        text, _, _, key = fragments(pdf["data"].tolist(), window)
+        text, _, _, key = fragments(folded(pdf)["data"].tolist(), window)
         order = np.argsort(key, kind="stable")
         key, text = key[order], text[order]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
@@ -218,9 +263,9 @@ def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pd.DataFrame(rows, columns=["g", "p", "keys"])
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"doc": [], "mark": [], "start": [], "key": [], "part": []})
         if not len(left) or not len(right):
-            return empty
+            return pd.DataFrame({"doc": [], "mark": [], "mark2": [], "start": [], "key": [], "part": []})
+        left = folded(left)
         texts = left["data"].tolist()
         text, start, windows, key = fragments(texts, window)
         part, short = key % U(groups), key >> U(24) & U((1 << 40) - 1)
@@ -232,20 +277,20 @@ def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             keep[own] = np.isin(short[own], _unpacked(blob), kind="sort")
         text, start, windows, key = text[keep], start[keep], windows[keep], key[keep]
         parts = [texts[t][s : s + n] for t, s, n in zip(text.tolist(), start.tolist(), (windows + window - 1).tolist(), strict=True)]
-        return pd.DataFrame(
-            {"doc": left["doc"].to_numpy()[text], "mark": left["mark"].to_numpy()[text], "start": start.astype(np.int32), "key": key.view(np.int64), "part": parts}
-        )
+        same = {c: left[c].to_numpy()[text] for c in ("doc", "mark", "mark2")}
+        return pd.DataFrame(same | {"start": start.astype(np.int32), "key": key.view(np.int64), "part": parts})
 
     keys = dealt.groupBy("g").applyInPandas(keys_of, "p int, g int, keys binary, twice binary")
     shared = keys.repartition(groups, "p").groupBy("p").applyInPandas(shared_of, "g int, p int, keys binary")
-    return dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(cut, "doc long, mark long, start int, key long, part binary")
+    return dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(cut, "doc long, mark long, mark2 long, start int, key long, part binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, spans) for every row: spans are the maximal removed byte ranges as start, end, start, end ..."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("doc"), data.alias("data")).withColumn("mark", F.xxhash64("data"))
-    found = materialize(repeated_fragments(rows.select("doc", "mark", "data"), window))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("doc"), data.alias("data"))
+    rows = rows.withColumns({"mark": F.xxhash64("data"), "mark2": F.xxhash64(F.lit("second"), "data")})
+    found = stored(repeated_fragments(rows.select("doc", "mark", "mark2", "data"), window))
     release(docs.sparkSession)
     size = found.agg(F.sum(F.octet_length("part"))).first()[0] or 0
     tasks = max(8, -(-size // GROUP_BYTES))
@@ -253,23 +298,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     placed = distinct.withColumn("task", F.pmod("key", F.lit(tasks)).cast("int")).repartition(tasks, "task")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = repeated_windows(pdf["part"].tolist(), pdf["first"].to_numpy(), window)
-        return pd.DataFrame({"key": pdf["key"], "part": pdf["part"], "first": pdf["first"], "spans": spans})
+        parts, first = pdf["part"].tolist(), pdf["first"].to_numpy()
+        spans: list[np.ndarray] = [np.empty(0, np.int32)] * len(parts)
+        shared = np.flatnonzero(pdf["key"].duplicated(keep=False))
+        if len(shared):
+            for k, found_spans in zip(shared.tolist(), repeated_windows([parts[k] for k in shared], first[shared], window), strict=True):
+                spans[k] = found_spans
+        return pd.DataFrame({"key": pdf["key"], "part": parts, "first": first, "spans": spans})
 
     merged = placed.groupBy("task").applyInPandas(merge, "key long, part binary, first long, spans array<int>")
     merged = merged.select("key", F.xxhash64("part").alias("print"), "first", "spans")
-    seen = found.select("doc", "mark", "start", F.octet_length("part").alias("size"), "key", F.xxhash64("part").alias("print"))
+    seen = found.select("doc", "mark", "mark2", "start", F.octet_length("part").alias("size"), "key", F.xxhash64("part").alias("print"))
     start = F.col("start")
     own = F.when(F.col("doc") > F.col("first"), F.array(start, start + F.col("size"))).otherwise(F.transform("spans", lambda x: x + start))
-    spans = seen.join(merged, ["key", "print"]).select("doc", "mark", own.alias("spans")).filter(F.size("spans") > 0)
-    spans = spans.groupBy("doc", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = seen.join(merged, ["key", "print"]).select("mark", "mark2", own.alias("spans")).filter(F.size("spans") > 0)
+    spans = spans.groupBy("mark", "mark2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    of_text = rows.groupBy("mark", "mark2").agg(F.min("doc").alias("first")).join(spans, ["mark", "mark2"], "left")
+    size_of = F.octet_length("data")
+    whole = F.when(size_of >= window, F.array(F.lit(0), size_of))  # a copy of a text that a smaller document has
+    judged = rows.join(of_text, ["mark", "mark2"]).select("doc_id", "data", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
 
     def united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame["spans"] = [joined(s) for s in frame["spans"]]
             yield frame[["doc_id", "data", "spans"]]
 
-    return rows.join(spans, ["doc", "mark"], "left").select("doc_id", "data", "spans").mapInPandas(united, "doc_id long, data binary, spans array<int>")
+    return judged.mapInPandas(united, "doc_id long, data binary, spans array<int>")
 
 
 def joined(spans) -> np.ndarray:
