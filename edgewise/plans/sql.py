@@ -79,6 +79,12 @@ SQL = {
         b AS (SELECT w, src, dst FROM p UNION SELECT w, dst, src FROM p),
         reach(w, id, low) AS (SELECT w, src, src FROM b UNION SELECT r.w, b.dst, r.low FROM reach r JOIN b ON b.w = r.w AND b.src = r.id)
         SELECT w AS window_end, id, min(low) AS component FROM reach GROUP BY w, id""",
+    "cumulative_components": G + """, t AS (SELECT src, dst, (epoch_ms(ts) // 864000000 + 1) * 864000000 - 1 AS e FROM g),
+        p AS (SELECT DISTINCT w.e AS w, src, dst FROM (SELECT DISTINCT e FROM t) w JOIN t ON t.e <= w.e),
+        b AS (SELECT w, src, dst FROM p UNION SELECT w, dst, src FROM p),
+        reach(w, id, low) AS (SELECT w, src, src FROM b UNION SELECT r.w, b.dst, r.low FROM reach r JOIN b ON b.w = r.w AND b.src = r.id WHERE r.low < b.dst),
+        c AS (SELECT w, id, min(low) AS component FROM reach GROUP BY w, id)
+        SELECT w AS window_end, count(DISTINCT component) AS components, count(*) AS vertices FROM c GROUP BY w""",
     "bipartite_check": G + COVER.format(edges="g"),
     "bipartite_sides": SIDES,
     "bipartite_summary_sides": SIDES,
