@@ -205,6 +205,23 @@ def decode_column(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids"
     return docs.withColumn(bytes_col, joined(F.col(ids_col)))
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "text", rows_a_batch: int = 256) -> DataFrame:
+    """``docs`` without the text, with n_tokens, ids, and whether the ids decode to the text's bytes; few rows leave at once."""
+    rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "round_trip")]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema) + "n_tokens long, ids array<int>, round_trip boolean"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(path, pattern)
+        for frame in frames:
+            for at in range(0, len(frame), rows_a_batch):
+                part = frame.iloc[at : at + rows_a_batch]
+                ids = [c.encode(t or "") for t in part[text_col]]
+                same = [c.decode(i) == (t or "").encode() for i, t in zip(ids, part[text_col], strict=True)]
+                yield part[rest].assign(n_tokens=[len(i) for i in ids], ids=ids, round_trip=same)
+
+    return docs.select(*rest, text_col).mapInPandas(run, schema)
+
+
 def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: a round trip of each text in one pass, without keeping the ids."""
 
