@@ -41,13 +41,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, and whether decoding the ids gives the text's bytes again."""
+    """doc_id, source, n_tokens, ids, and whether decoding the ids gives the bytes of the text again."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode_column(bpe.encode_column(docs.select("doc_id", "source", "text"), path, pattern), path, pattern)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return bpe.encode_checked(docs.select("doc_id", "source", "text"), path, pattern)
 
 
 STAGES = [
