@@ -14,6 +14,9 @@ from edgewise.operators.summaries.adjacency import AdjacencyGraph
 from edgewise.operators.summaries.disjoint_set import DisjointSet
 from edgewise.session import materialize
 
+#: Forest edges that one task joins in about a second.
+FEW_EDGES = 200_000
+
 # --- components ------------------------------------------------------------------------------------
 
 
@@ -28,7 +31,8 @@ def components(stream: EdgeStream) -> DataFrame:
         rows = [(x, sets.find(x)) for x in list(sets.parent)]
         yield pd.DataFrame(rows, columns=["src", "dst"]).astype("int64")
 
-    return connected_components(stream.edges.select("src", "dst").dropna().mapInPandas(forest, "src long, dst long"))
+    forests = stream.edges.select("src", "dst").dropna().mapInPandas(forest, "src long, dst long")
+    return connected_components(forests, one_task=FEW_EDGES)
 
 
 def components_iterative(stream: EdgeStream) -> DataFrame:
@@ -95,7 +99,7 @@ def triangles(edges: DataFrame, *keep: str) -> DataFrame:
     known = known.join(ends.select(*keep, F.col("v").alias("b"), F.col("d").alias("db")), [*keep, "b"])
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     low, high = F.when(up, F.col("a")).otherwise(F.col("b")), F.when(up, F.col("b")).otherwise(F.col("a"))
-    out = materialize(known.select(*keep, low.alias("x"), high.alias("y")))
+    out = known.select(*keep, low.alias("x"), high.alias("y"))
     wedges = out.join(out.select(*keep, "x", F.col("y").alias("z")), [*keep, "x"]).filter(F.col("y") < F.col("z"))
     closing = edges.select(*keep, F.col("a").alias("y"), F.col("b").alias("z"))
     return wedges.join(closing, [*keep, "y", "z"]).select(*keep, "x", "y", "z")
