@@ -307,7 +307,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         return pd.DataFrame({"key": pdf["key"], "part": parts, "first": first, "spans": spans})
 
     merged = placed.groupBy("task").applyInPandas(merge, "key long, part binary, first long, spans array<int>")
-    merged = merged.select("key", F.xxhash64("part").alias("print"), "first", "spans")
+    merged = stored(merged.select("key", F.xxhash64("part").alias("print"), "first", "spans"))
+    release(docs.sparkSession)
     seen = found.select("doc", "mark", "mark2", "start", F.octet_length("part").alias("size"), "key", F.xxhash64("part").alias("print"))
     start = F.col("start")
     own = F.when(F.col("doc") > F.col("first"), F.array(start, start + F.col("size"))).otherwise(F.transform("spans", lambda x: x + start))
