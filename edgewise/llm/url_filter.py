@@ -7,7 +7,8 @@ rule among the aliases takes precedence over a block rule.
 
 Edge cases: a null url, or one without "://", has empty host and path, fits no rule, has no
 aliases and is allowed; repeated urls agree; relative targets of links are resolved against the
-page's host; unknown targets are nodes of their own; an empty table gives an empty result.
+page's url; targets without "://" that have a scheme (mailto:) are no links; unknown targets are nodes
+of their own, judged on their whole path; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,8 +68,36 @@ def canonical(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(F.lit("page:"), host_of(url), path))
 
 
+def _without_dots(path: Column) -> Column:
+    """``path`` with its segments . and .. resolved."""
+    parts = F.split(path, "/", -1)
+    step = lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    open_end = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), clean).otherwise(path)
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """The url that the reference ``to`` means on the page ``base``; null where it means no page."""
+    site, path = F.concat(F.lit("http://"), host_of(base)), path_of(base)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"^(?s)(.*/)", 1)).otherwise(F.lit("/"))
+    whole = (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("/"), F.concat(site, to))
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .when(to.startswith("#"), F.concat(site, path, query, to))
+        .otherwise(F.concat(site, folder, to))
+    )
+    rest = F.regexp_extract(whole, r"^(?s).*?://[^/?#]*[^?#]*(.*)$", 1)
+    return F.concat(F.lit("http://"), host_of(whole), _without_dots(path_of(whole)), rest)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (a, b) between canonical forms, from canonical links and refresh redirects in the markup."""
+    """Edges (a, b, a_url, b_url) between canonical forms, from canonical links and refresh redirects in the markup."""
     head = F.col(html_col)
     tags = F.when(
         head.rlike(r"(?i)canonical|http-equiv"),
@@ -79,17 +108,16 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     refresh = F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
     to = F.when(tag.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"), href).when(tag.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), refresh)
     found = pages.select(F.col(url_col).alias("url"), F.explode(tags).alias("tag")).select("url", to.alias("to")).filter("to != ''")
-    whole = F.when(F.instr("to", "://") > 0, F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(
-        F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), F.col("to"))
-    )
-    return found.select(canonical(F.col("url")).alias("a"), canonical(whole).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    to = F.regexp_replace(F.col("to"), "&amp;", "&")
+    whole = found.select(F.col("url").alias("a_url"), resolved(to, F.col("url")).alias("b_url"))
+    return whole.select(canonical(F.col("a_url")).alias("a"), canonical(F.col("b_url")).alias("b"), "a_url", "b_url").filter("a IS NOT NULL AND b IS NOT NULL")
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     ``edges`` (a, b) hold canonical forms of urls that are aliases; pages of one canonical form
-    always are. Decisions meet once per canonical form (a partial aggregation), and travel from
+    always are. Rules are held against a_url and b_url where the edges have them, as a form lacks the end slash. Decisions meet once per canonical form (a partial aggregation), and travel from
     there along the edges to whole components.
     """
     own = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "form": canonical(F.col(url_col))})
@@ -97,9 +125,11 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[Rule, .
     # A form's own url stands for itself, so link targets outside the table carry their rules too.
     forms = own.filter("form IS NOT NULL").select("form", F.col("fit.verdict").alias("decision"))
     if edges is not None:
-        ends = edges.select(F.explode(F.array("a", "b")).alias("form"))
-        stated = F.concat(F.lit("any://"), F.substring("form", 6, 1_000_000))
-        forms = forms.unionByName(ends.select("form", rule_of(host_of(stated), path_of(stated), rules)["verdict"].alias("decision")))
+        known = {"a_url", "b_url"} <= set(edges.columns)
+        stated = lambda c: F.col(f"{c}_url") if known else F.concat(F.lit("any://"), F.substring(c, 6, 1_000_000))
+        end = lambda c: F.struct(F.col(c).alias("form"), stated(c).alias("url"))
+        ends = edges.select(F.explode(F.array(end("a"), end("b"))).alias("end")).select("end.*")
+        forms = forms.unionByName(ends.select("form", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("decision")))
         members = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         forms = forms.join(members.withColumnRenamed("id", "form"), "form", "left").withColumn("group", F.coalesce("component", "form"))
     else:

@@ -92,6 +92,31 @@ def test_links_in_markup(spark):
     assert verdicts == {1: "block", 2: "allow", 3: "allow"}
 
 
+@pytest.mark.parametrize(
+    ("page", "to", "form", "verdict"),
+    [
+        ("http://b.com/x/1", "b.html", "b.com/x/b", "allow"),
+        ("http://b.org/fr/1", "../es/9", "b.org/es/9", "block"),
+        ("http://b.org/fr/1", "./../../es/./9?q#f", "b.org/es/9", "block"),
+        ("http://b.org", "es/9", "b.org/es/9", "block"),
+        ("http://b.org/fr/1?x=/y/", "z", "b.org/fr/z", "allow"),
+        ("http://b.org/fr/1", "?url=http://x.org/es/", "b.org/fr/1", "allow"),
+        ("http://b.org/fr/1", "/r?u=http://x.org/es/1", "b.org/r", "allow"),
+        ("http://b.org/fr/1", "//x.org/es/1", "x.org/es/1", "block"),
+        ("http://b.org/fr/1", "http://x.org/es/", "x.org/es", "block"),
+        ("http://b.org/fr/1", "http://x.org/es", "x.org/es", "allow"),
+        ("http://b.org/fr/1", "http://x.org/fr/../es/", "x.org/es", "block"),
+        ("http://b.org/fr/1", "mailto:x@b.org", None, "allow"),
+    ],
+)
+def test_link_targets(spark, page, to, form, verdict):
+    for html in (f'<link rel=canonical href="{to}">', f'<meta http-equiv="refresh" content="0; url={to}">'):
+        pages = spark.createDataFrame([(1, page, html)], "page_id long, url string, html string")
+        edges = url_filter.link_edges(pages)
+        assert [r.b for r in edges.collect()] == ([f"page:{form}"] if form else [])
+        assert url_filter.judge(pages, edges).first().verdict == verdict
+
+
 # --- near duplicates
 
 
