@@ -13,8 +13,10 @@ Large prefixes and groups are cut into blocks; pairs of blocks are compared apar
 so no task holds more than two blocks. Only counts and spanning edges leave a block, never pairs.
 
 Edge cases: a null, empty or blank text has no five-grams and links with nothing; a text of one to
-four words has its word sequence as its only gram; an empty table gives an empty result; repeated
-ids are kept apart as rows and share a class; very long texts use all their grams.
+four words has its word sequence as its only gram; an empty table gives an empty result; rows that
+share an id are judged by their own texts, rows without one as all others: classes have numbers of
+their own, and ids only name the result (null if no row of a class has an id); very long texts use
+all their grams.
 """
 
 from __future__ import annotations
@@ -94,25 +96,29 @@ def minima_of(grams: np.ndarray, count: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, depth: int, trees: int, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, grams, digest, prefixes, sig): one row a document."""
+    """(doc_id, text_md5, grams, digest, prefixes, sig): one row a document."""
     import xxhash
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(size)
         for frame in frames:
             out = []
-            for i, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for text in frame["text"]:
                 g = shingler.grams(text)
                 if not len(g):
-                    out.append((i, 0, b"", [], b""))
+                    out.append((0, b"", [], b""))
                     continue
                 m = minima_of(g, depth * trees)
                 prefixes = [xxhash.xxh64_intdigest(m[t * depth : (t + 1) * depth].tobytes(), t) - (1 << 63) for t in range(trees)]
-                out.append((i, len(g), xxhash.xxh128_digest(g.tobytes()), prefixes, m.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "grams", "digest", "prefixes", "sig"])
+                out.append((len(g), xxhash.xxh128_digest(g.tobytes()), prefixes, m.astype(np.uint8).tobytes()))
+            signed = pd.DataFrame(out, columns=["grams", "digest", "prefixes", "sig"])
+            yield pd.concat([frame[["doc_id", "known", "text_md5"]].reset_index(drop=True), signed], axis=1)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, grams long, digest binary, prefixes array<long>, sig binary")
+    # Null ids travel as 0 and a flag: pandas would turn the ids beside them into floats.
+    key = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(key, F.lit(0).cast("long")).alias("doc_id"), key.isNotNull().alias("known"), F.md5(F.col(text_col)).alias("text_md5"), F.col(text_col).alias("text"))
+    signed = rows.mapInPandas(run, "doc_id long, known boolean, text_md5 string, grams long, digest binary, prefixes array<long>, sig binary")
+    return signed.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "text_md5", "grams", "digest", "prefixes", "sig")
 
 
 def grouped(frames: Iterator, keys: list[str]) -> Iterator:
@@ -183,7 +189,7 @@ def in_blocks(rows: DataFrame, key: str, id_col: str, count: str, most: int) ->
 
 
 def candidate_groups(classes: DataFrame, least: float) -> DataFrame:
-    """(id, component) of classes that have a candidate, from (rep, prefixes, sig)."""
+    """(id, component) of classes that have a candidate, from (rep, prefixes, sig); ``rep`` is the number of a class."""
 
     rows = classes.select("rep", F.explode("prefixes").alias("prefix"))
     shared = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -243,28 +249,29 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> n
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links) for every row of ``docs``.
 
-    ``class_id`` is the smallest id reachable over links, ``n_links`` the number of other rows at or
-    above the threshold, copies included.
+    ``class_id`` is the smallest id reachable over links (nulls aside), ``n_links`` the number of other
+    rows at or above the threshold, copies included.
     """
 
     depth, trees = forest_shape(threshold)
     signed = materialize(signatures(docs, depth, trees, id_col, text_col, size))
     classes = signed.filter("grams > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_md5")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("sig").alias("sig")
     )
-    classes = materialize(classes)
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))
     least = threshold - 5.5 * (threshold * (1 - threshold) / (depth * trees)) ** 0.5
     groups = materialize(candidate_groups(classes, least))
     members = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    placed = groups.join(members, "component").withColumnRenamed("id", "rep").join(classes.select("rep", "copies"), "rep")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(placed, "rep")
+    placed = groups.join(members, "component").withColumnRenamed("id", "rep").join(classes.select("rep", "at", "copies"), "rep")
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text_col)).alias("text_md5"), F.col(text_col).alias("text"))
+    texts = row.join(placed, F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_md5") == F.col("at.text_md5"))).dropDuplicates(["rep"])
     dealt = in_blocks(texts, "component", "rep", "members", GROUP_BLOCK)
     dealt = dealt.select("component", "block_a", "block_b", "blocks", "block", "rep", "copies", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, out = Shingler(size), []
         for g in grouped(frames, ["component", "block_a", "block_b"]):
-            g = g.drop_duplicates("rep").sort_values("rep")
+            g = g.sort_values("rep")
             ids, copies = g["rep"].to_numpy(), g["copies"].to_numpy()
             a, b = g["block_a"].iat[0], g["block_b"].iat[0]
             side = (g["block"].to_numpy() != a) if a != b else np.zeros(len(ids), bool)
@@ -286,11 +293,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     found = materialize(ordered.mapInPandas(run, "rep long, links long, root long, parted boolean"))
     # A group of one block has its classes already; those of several blocks are joined over all their parts.
     parted = connected_components(found.filter("parted").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    whole = found.filter("NOT parted").select("rep", F.col("root").alias("class_id"))
-    class_of = whole.unionByName(parted.select(F.col("id").alias("rep"), F.col("component").alias("class_id")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(class_of, "rep")
-    by_digest = classes.select("digest", "rep", "copies").join(links, "rep", "left").select(
-        "digest", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    whole = found.filter("NOT parted").select("rep", F.col("root").alias("class"))
+    class_of = whole.unionByName(parted.select(F.col("id").alias("rep"), F.col("component").alias("class")))
+    lowest = class_of.join(classes.select("rep", "low"), "rep").groupBy("class").agg(F.min("low").alias("class_low"))
+    named = class_of.join(lowest, "class").select("rep", "class_low")
+    links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(named, "rep")
+    by_digest = classes.select("digest", "rep", "low", "copies").join(links, "rep", "left").select(
+        "digest", F.coalesce("class_low", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     with_grams = signed.filter("grams > 0").select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "class_id", "n_links")
     without = signed.filter("grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

@@ -151,6 +151,16 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rng = random.Random(11)
+    a, b, c = ([f"{k}{rng.randrange(900)}" for _ in range(80)] for k in "abc")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (7, near(a)), (6, near(b)), (None, " ".join(c)), (None, near(c)), (None, near(a)), (2**60 + 1, "alone here")]
+    got = [tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(5, 5, 2), (5, 5, 2), (5, 5, 2), (7, 5, 2), (6, 5, 2), (None, None, 1), (None, None, 1), (None, 5, 2), (2**60 + 1, 2**60 + 1, 0)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- embeddings
 
 
