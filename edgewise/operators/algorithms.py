@@ -224,24 +224,30 @@ def _uniform(seed: int, what: str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), F.col("sampler")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def _estimate(stream: EdgeStream, vertices: int, samples: int, seed: int, incident_only: bool) -> DataFrame:
+def _estimate(stream: EdgeStream, vertices: int | None, samples: int, seed: int, incident_only: bool) -> DataFrame:
     """Reservoir sampling keeps edge i with chance 1/i, so a sampler's last edge is uniform: it is drawn directly.
 
     A sampler then holds its edge (a, b), a random third vertex c, and sees beta = 1 if both (a, c)
     and (b, c) arrive later. Samplers join edges by key, so no edge is sent to every sampler.
+    The third vertex is drawn by its rank among the graph's ids. ``vertices`` beyond the graph's own
+    number count as vertices without edges; by default there are none.
     """
     from edgewise.functions.running import running
 
     spark = stream.context
     ranked = materialize(running(stream.edges.select("src", "dst", "seq"), "seq", F.lit(1), name="place"))
     m = ranked.count()
+    ids = ranked.select(F.explode(F.array("src", "dst")).alias("id")).filter("id IS NOT NULL").distinct()
+    ids = materialize(running(ids, "id", F.lit(1), name="rank").select("id", (F.col("rank") - 1).alias("rank")))
+    vertices = max(vertices or 0, ids.count())
     samplers = spark.range(samples).withColumnRenamed("id", "sampler")
     drawn = samplers.select("sampler", (F.floor(_uniform(seed, "edge") * m) + 1).alias("place"), F.floor(_uniform(seed, "vertex") * (vertices - 2)).cast("long").alias("skip"))
     held = drawn.join(ranked.select("place", F.col("src").alias("a"), F.col("dst").alias("b")), "place")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
+    held = held.join(ids.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ids.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+    low, high = F.least("ra", "rb"), F.greatest("ra", "rb")
     c = F.col("skip") + F.when(F.col("skip") >= low, 1).otherwise(0)
     c = c + F.when(c >= high, 1).otherwise(0)  # any vertex but the two
-    held = held.withColumn("c", c)
+    held = held.withColumn("rank", c).join(ids.withColumnRenamed("id", "c"), "rank")
     later = ranked.select(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q"), "place").filter("p < q").groupBy("p", "q").agg(F.max("place").alias("last"))
     if incident_only:
         ends = held.select(F.explode(F.array("a", "b")).alias("v")).distinct()
@@ -254,11 +260,11 @@ def _estimate(stream: EdgeStream, vertices: int, samples: int, seed: int, incide
     return beta.select(F.lit(m).cast("long").alias("edges"), "beta", estimate.alias("estimate"))
 
 
-def triangle_estimate_broadcast(stream: EdgeStream, vertices: int, samples: int = 10_000, seed: int = 0xDEADBEEF) -> DataFrame:
+def triangle_estimate_broadcast(stream: EdgeStream, vertices: int | None = None, samples: int = 10_000, seed: int = 0xDEADBEEF) -> DataFrame:
     """One row (edges, beta, estimate) of the sampling estimator in which every sampler sees every edge."""
     return _estimate(stream, vertices, samples, seed, False)
 
 
-def triangle_estimate_incidence(stream: EdgeStream, vertices: int, samples: int = 10_000, seed: int = 0xDEADBEEF) -> DataFrame:
+def triangle_estimate_incidence(stream: EdgeStream, vertices: int | None = None, samples: int = 10_000, seed: int = 0xDEADBEEF) -> DataFrame:
     """As the broadcast estimator, but only edges incident to a sampled edge go on to the samplers."""
     return _estimate(stream, vertices, samples, seed, True)

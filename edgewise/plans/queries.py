@@ -288,9 +288,9 @@ def matching_events(spark, sf_dir):
 
 @query
 def triangle_estimate_broadcast(spark, sf_dir):
-    return A.triangle_estimate_broadcast(events(spark, sf_dir).distinct(), 150)
+    return A.triangle_estimate_broadcast(events(spark, sf_dir).distinct())
 
 
 @query
 def triangle_estimate_incidence(spark, sf_dir):
-    return A.triangle_estimate_incidence(events(spark, sf_dir).distinct(), 150)
+    return A.triangle_estimate_incidence(events(spark, sf_dir).distinct())

@@ -152,6 +152,26 @@ def test_estimators(spark, estimate):
     assert estimate(g, 62, 40_000, seed=5).first() == got
 
 
+@pytest.mark.parametrize("estimate", [A.triangle_estimate_broadcast, A.triangle_estimate_incidence])
+def test_estimators_take_the_vertices_of_the_graph(spark, estimate):
+    near = S.generate(spark, "near", 60)
+    far = EdgeStream(near.withColumns({"src": F.col("src") * 1000, "dst": F.col("dst") * 1000}))
+    got = estimate(far, samples=40_000, seed=5).first()
+    assert 0.5 * 60 < got.estimate < 1.6 * 60
+    assert got == estimate(EdgeStream(near), samples=40_000, seed=5).first()
+
+
+def test_registered_estimators(spark, tmp_path):
+    from edgewise.plans.queries import QUERIES
+
+    n = 300  # two fans from 1000 and 1001 over further ids
+    rows = [(i, 0, f'{{"k": {1000 + v}}}', 1.0, "2024-01-01") for v in range(2, n) for i in (1000, 1001)] + [(1000, 1, '{"k": 1001}', 1.0, "2024-01-01")]
+    rows = [(rows[-1][0], 0, *rows[-1][2:]), *[(u, k, *rest) for k, (u, _, *rest) in enumerate(rows[:-1], 1)]]
+    spark.createDataFrame(rows, "user_id long, event_id long, props string, value double, ts string").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("triangle_estimate_broadcast", "triangle_estimate_incidence"):
+        assert QUERIES[name](spark, str(tmp_path)).first().estimate > 0.5 * (n - 2)
+
+
 def test_disjoint_set():
     a, b = DisjointSet(), DisjointSet()
     for i in range(8):
