@@ -6,8 +6,9 @@ next two longer words, shorter ones skipped. The fingerprint of a text is the so
 32-bit checksums of its signatures. Sets are compared by Jaccard; candidates are pruned by the
 lengths of the sets, and by the signatures that a similar set must share.
 
-Words are runs of letters and digits, in lower case. A chain ends after ``MOST_SKIPPED`` short words
-in a row, so each position costs a bounded number of words.
+Words are runs of letters and digits, in lower case. A text is cut at its longer words: all short words
+between two of them have the second and the one after it as their chain, so a text costs time in
+proportion to its words, however many short ones follow each other.
 
 Edge cases: a null text is empty; a text without words has an empty fingerprint; a text with words
 but without a complete chain has a signature for each pair of adjacent words, or one of all of it
@@ -18,16 +19,17 @@ by a hash of their text; null ids come last; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgewise.session import materialize
 
-MOST_SKIPPED = 8
+#: Short words that a chain may skip in a row: there is no limit.
+MOST_SKIPPED = math.inf
 WORD, GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]++"
-SHORT = rf"{WORD}{{1,3}}{GAP}"
 LONG = rf"{WORD}{{4,}}+"
-CHAIN = rf"(?<!{WORD})(?=({SHORT}(?:{SHORT}){{0,{MOST_SKIPPED}}}+{LONG}{GAP}(?:{SHORT}){{0,{MOST_SKIPPED}}}+{LONG}))"
 
 #: For texts without any common word: every word is an anchor, its chain the next word.
 PAIR = rf"(?<!{WORD})(?=({WORD}++{GAP}{WORD}++))"
@@ -41,15 +43,27 @@ def signatures(text: Column) -> Column:
         words = F.split(m, GAP)
         return F.crc32(F.concat_ws(":", F.element_at(words, 1), F.array_join(F.filter(words, lambda w: F.length(w) > 3), ":")))
 
-    def distinct(pattern: str) -> Column:
-        return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)), checksum)))
+    def of_anchors(p: Column) -> Column:
+        """Checksums of the short words before each long word that has another one after it."""
+        before = F.slice(p["between"], F.lit(1), F.greatest(F.size(p["longs"]) - 1, F.lit(0)))
+        chain = lambda i: F.concat_ws(":", F.get(p["longs"], i), F.get(p["longs"], i + 1))
+        anchors = lambda gap: F.regexp_extract_all(gap, F.lit(f"{WORD}++"), F.lit(0))
+        return F.flatten(F.transform(before, lambda gap, i: F.transform(anchors(gap), lambda a: F.crc32(F.concat_ws(":", a, chain(i))))))
+
+    # An array of one struct, so that its two arrays are computed once a text.
+    cut = F.array(F.struct(F.split(plain, LONG, -1).alias("between"), F.regexp_extract_all(plain, F.lit(LONG), F.lit(0)).alias("longs")))
+    chains = F.flatten(F.transform(cut, of_anchors))
+    pairs = F.transform(F.regexp_extract_all(plain, F.lit(PAIR), F.lit(1)), checksum)
+
+    def distinct(sums: Column) -> Column:
+        return F.sort_array(F.array_distinct(sums))
 
     def or_else(first: Column, second: Column) -> Column:
         """``first`` unless it is empty; evaluated once, the second only where needed."""
         return F.get(F.transform(F.array(first), lambda s: F.when(F.size(s) > 0, s).otherwise(second)), F.lit(0))
 
     whole = F.when(plain.rlike(WORD), F.array(F.crc32(plain))).otherwise(F.array().cast("array<bigint>"))
-    return or_else(distinct(CHAIN), or_else(distinct(PAIR), whole))
+    return or_else(distinct(chains), or_else(distinct(pairs), whole))
 
 
 def fingerprint(sigs: Column) -> Column:

@@ -233,6 +233,23 @@ def test_fingerprints_and_next(spark):
     assert spotsigs.with_next(df.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_chains_skip_any_number_of_short_words(spark):
+    texts = [
+        "The " + "of a " * 10 + "house " + "in 42 " * 9 + "river",
+        "a house of river " + "an " * 12 + "mountain under",
+        "of " * 20_000 + "house river",
+        "house " * 5_000 + "of river green",
+    ]
+    want = [
+        {f"{w}:house:river" for w in ("the", "of", "a")},
+        {"a:house:river", "of:river:mountain", "an:mountain:under"},
+        {"of:house:river"},
+        {"of:river:green"},
+    ]
+    got = {r.doc_id: set(r.signatures) for r in spotsigs.fingerprints(table(spark, texts)).collect()}
+    assert got == {i: {zlib.crc32(x.encode()) for x in w} for i, w in enumerate(want)}
+
+
 def test_similar_pairs(spark):
     base = " ".join(f"the word{i} of place{i}" for i in range(40))
     texts = [base, base, base + " extra tail words", "the other words of places entirely different"]
