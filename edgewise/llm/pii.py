@@ -43,7 +43,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", r"(?i)\b(tel|phone|call|mobile|fax)\b", 0.7),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}(?![A-Za-z0-9])){2,7}+(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "", r"(?i)\b(iban|bank|account|konto|compte)\b", 0.6, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", r"(?i)\b(ssn|social|security)\b", 0.3, False),
-    Kind("secret", r"(?i)\b(?:password|passwd|token|secret|api_?key)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_./+-]{8,64}+", "", r"(?i)\b(login|user|key|auth)\b", 0.6, False),
+    Kind("secret", r"(?i)\b(?:password|passwd|token|secret|api_?key)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_./+-]{8,}+", "", r"(?i)\b(login|user|key|auth)\b", 0.6, False),
 )
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.3

@@ -108,6 +108,12 @@ def test_further_kinds_and_redaction(spark):
     assert clean[4] == "<SECRET> and <EMAIL>" and clean[1] == texts[1] and clean[5] is None
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    key = "aB3" * 70 + ".x_y-z" * 20
+    texts = [f"token: {key} end", f"password={'q' * 65}"]
+    assert [r.text for r in pii.redact(table(spark, texts)).orderBy("doc_id").collect()] == ["<SECRET> end", "<SECRET>"]
+
+
 # --- toxicity
 
 
