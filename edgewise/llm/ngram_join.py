@@ -1,10 +1,11 @@
-"""Near-duplicate documents: Jaccard of word five-grams, found with a MinHash LSH forest and verified exactly.
+"""Near-duplicate documents: Jaccard of word five-grams, found with MinHash LSH in fixed bands and verified exactly.
 
 1. Every text becomes its set of hashed five-grams. Documents with equal sets form one class, so
    copies never multiply. A class has ``trees * depth`` minima as its signature.
-2. Each tree is a sorted prefix trie over its part of the signature. The prefix that must match
-   starts at ``MOST_DEPTH`` minima and is shortened until the recall at the threshold,
-   1 - (1 - t^depth)^trees, reaches the target; shorter prefixes leave minima for more trees.
+2. The signature is cut into fixed bands, one a tree, in place of a forest of sorted prefix tries: rows
+   meet if all minima of a band are equal. The depth of a band is the largest up to ``MOST_DEPTH`` at
+   which the recall at the threshold, 1 - (1 - t^depth)^trees, reaches the target. It depends on the
+   threshold alone, as one fixed threshold is asked for; no prefix is shortened over the data.
 3. Rows with a common prefix are compared by whole signatures, and pairs far below the threshold
    are put aside (five and a half standard errors). What is left forms candidate groups.
 4. Inside a candidate group all pairs of classes are compared exactly, with their whole sets.
