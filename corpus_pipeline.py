@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise.llm import bpe, mixing, ngram_join, pii, toxicity
-from edgewise.session import shared_dir
+from edgewise.session import shared_dir, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +21,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, labels).filter("predicted = 0").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` stored with a number of its own for each row, as ids may be null or repeat."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates; of rows with one id the first by text."""
-    kept = ngram_join.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    left = docs.join(kept, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("row_of_id", first).filter("row_of_id = 1").select(*docs.columns)
+    """One document of each class of near duplicates: that with the smallest id, of rows with one id the first by a digest of the text.
+
+    Ids say nothing about likeness: rows without an id and unlike rows that share one stay.
+    """
+    rows = numbered(docs)
+    classes = ngram_join.near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), "class_id")
+    ranks = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.md5("text"), "row").alias("rank"))
+    kept = classes.join(ranks, "row").groupBy("class_id").agg(F.min("rank").alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +45,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix begins them, whole ones only."""
-    taken = mixing.mix(docs, whole_documents=True).filter("epochs > 0").select("doc_id", "epochs")
-    return docs.join(taken, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "epochs"))).select(*docs.columns)
+    rows = numbered(docs)
+    taken = mixing.mix(rows, whole_documents=True, row_col="row").filter("epochs > 0").select("row", "epochs")
+    return rows.join(taken, "row").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "epochs"))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

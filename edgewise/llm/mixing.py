@@ -13,7 +13,7 @@ sum inside a slice starts from there.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of its own, after
 all others; repeated ids and ties in the key are ordered by id and then by text hash; a source of
-size 0 has target 0; an empty table gives an empty result; other columns pass through untouched.
+size 0 has target 0; rows without an id draw no key and come last, by text hash; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -78,8 +78,9 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     whole_documents: bool = False,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Mix ``docs``; returns one row per document: doc_id, source, size, source_size, target, taken, epochs.
+    """Mix ``docs``; returns one row per document: doc_id, source, size, source_size, target, taken, epochs, and ``row_col`` if named.
 
     ``taken`` counts the words that the mix takes from a document, repeats counted: the whole
     epochs plus its part of the fractional sample. The document at the budget's edge gives only
@@ -88,6 +89,7 @@ def mix(
     of times that the document is begun.
     """
     text = F.col(text_col)
+    row = [row_col] if row_col else []
     sizes = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -95,6 +97,7 @@ def mix(
             word_count(text).alias("size"),
             (-F.log(uniform(F.col(id_col))) / quality_weight(text)).alias("key"),
             F.xxhash64(text).alias("tie"),
+            *row,
         )
     )
     targets = source_targets(sizes, weights, share, most_epochs)
@@ -104,13 +107,16 @@ def mix(
         *sizes.columns,
         "source_size",
         "target",
-        F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.lit(0.8))) * F.col("slices")).cast("long").alias("slice"),
+        # Rows without a key have as many slices again, after all others.
+        F.coalesce(
+            F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.lit(0.8))) * F.col("slices")), F.col("slices") + 1 + F.pmod(F.col("tie"), F.col("slices"))
+        ).cast("long").alias("slice"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("full"),
     )
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0))).select(F.col("source").alias("of_source"), F.col("slice").alias("of_slice"), "slice_start")
-    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "tie", *row).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("slice") == F.col("of_slice"))).withColumn(
         "start", F.col("inner_start") + F.col("slice_start")
@@ -129,6 +135,7 @@ def mix(
         "target",
         (F.col("full") * size + part).alias("taken"),
         (F.col("full") + F.when(part > 0, 1).otherwise(0)).alias("epochs"),
+        *row,
     )
 
 

@@ -34,3 +34,24 @@ def test_stages(spark):
 
 def test_stage_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "pii", "mixing", "bpe"]
+
+
+def test_null_and_repeated_ids(spark):
+    words = {k: [f"{k}{i}" for i in range(60)] for k in "abcd"}
+    text = lambda k, last="end": " ".join([*words[k], last])
+    rows = [
+        (None, text("a")), (None, text("b")), (1, text("b", "fin")), (2, text("c")), (2, text("d")), (3, text("c", "fin")),
+        (None, None), (4, ""), (4, ""), (5, text("d")), (5, text("d")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(None, text("a")), (1, text("b", "fin")), (2, text("c")), (2, text("d")), (None, None), (4, ""), (4, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, f"null {i}", "en", "s", 6) for i in range(20)] + [(7, f"same {i}", "en", "s", 6) for i in range(20)] + [(i, f"own {i}", "en", "s", 6) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = [r.text for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert set(mixed) == {r[1] for r in rows} and len(mixed) == 90

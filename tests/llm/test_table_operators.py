@@ -161,6 +161,14 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_mixing_keeps_rows_without_ids(spark):
+    rows = [(None, f"w{i} x", "a") for i in range(50)] + [(i, "y z", "a") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 100 and sum(r.taken for r in got) == 300
+    assert min(r.taken for r in got if r.doc_id is not None) == 4  # rows without an id come last
+
+
 # --- embeddings
 
 
