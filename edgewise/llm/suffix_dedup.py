@@ -1,27 +1,31 @@
 """Exact removal of repeated passages, by merging the Burrows-Wheeler transforms of shards.
 
 A byte goes if a string of ``WINDOW`` bytes that covers it also starts in a document with a smaller
-id. Which strings repeat is read off repeated intervals of a merged transform:
+id. Which strings repeat is read off the repeated intervals of merged transforms:
 
-1. Each window has a content key, the smallest hash of the 16-byte grams inside it. Windows of equal
-   content have equal keys, and neighbours mostly share theirs, so a text falls into fragments of
-   one key, each with all the bytes of its windows. Keys that occur in one document only are left
-   out; nothing that repeats is lost.
-2. Equal texts, and then equal fragments, are folded into one with its smallest document id. Fragments are dealt out by key.
+1. Suffixes are dealt to tasks by content. A window's key is the smallest hash of the 16-byte grams
+   inside it, so windows of equal content meet, and as neighbours mostly share their key a text falls
+   into fragments of one key, each with all the bytes of its windows. Keys of one text only have
+   nothing to meet and are left out; that takes one exchange of packed keys.
+2. Equal texts, and then equal fragments, are folded into one with its smallest document id.
 3. In a task, fragments form shards. Each shard is suffix-sorted once and gives its transform. The
    transforms are merged by refining their interleave: starting from the order by no byte at all,
-   each round reorders by the word before with a stable counting sort of the transforms' symbols,
-   and block borders appear where the common prefix ends. Once the rounds add up to ``WINDOW`` bytes
-   the blocks are the intervals of suffixes with a common prefix of that length. No suffix is sorted
-   again. A key that has one fragment left has nothing to merge with.
+   each round reorders by the word before with a stable counting sort of the transforms' symbols.
+   Where a border first appears, the common prefix ends: the round gives its words, the two words that
+   differ give the bytes. No suffix is sorted again. Repeated intervals are the runs of suffixes whose
+   common prefixes reach ``WINDOW``.
 4. The smallest id of each interval decides about its windows; spans go back to the documents.
 
-Only fragments and spans are shuffled. The number of groups follows the bytes of the input, so a
-task holds about ``GROUP_BYTES``; a key whose contexts are very many still shares one task.
+A task of the merge holds about ``MERGE_BYTES``. A key with more than ``HOT_BYTES`` of different
+contexts is not merged in one task: the windows of its fragments are grouped by a 128-bit hash,
+with partial aggregation, which decides the same. Texts go in pieces of ``PIECE`` bytes, so memory does
+not follow the longest text. Groups of texts follow the bytes of the input; the packed keys of
+a group are one row for each part of the key space that has any, never more rows than keys.
 
 Edge cases: a null text is empty; texts under ``WINDOW`` bytes lose nothing; a null id counts as
 larger than all others; rows with one id never remove each other's bytes; zero bytes are ordinary;
-long runs of one byte form one long fragment; an empty table gives an empty result.
+long runs of one byte form one long fragment; an empty table gives an empty result; columns of the
+input other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +38,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewise.session import release, stored
+from edgewise.session import Scratch, stored
 
 WINDOW = 50
 GRAM = 16
-GROUP_BYTES = 12_000_000
-SHARD_BYTES = 1_500_000
+WORD = 8
+#: Bytes of text in a group whose fragments are cut together, and for each part of the key space.
+GROUP_BYTES = 6_000_000
+PART_BYTES = 24_000_000
+PIECE = 1_000_000
+#: Bytes of different fragments that a task merges, and in one of its shards; of one key before it counts as hot.
+MERGE_BYTES = 2_000_000
+SHARD_BYTES = 500_000
+HOT_BYTES = 1_000_000
 LAST_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -65,32 +76,42 @@ def window_keys(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.minimum(h[: len(h) - (need - have)], h[need - have :]) if need > have else h
 
 
+def pieces(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, offset, bytes) with about ``PIECE`` bytes each; each window of a text lies in one of its pieces."""
+    held, total = [], 0
+    for t, data in enumerate(texts):
+        for at in range(0, max(1, len(data) - window + 1), max(1, PIECE - window + 1)):
+            held.append((t, at, data[at : at + PIECE] if len(data) > PIECE else data))
+            total += len(held[-1][2])
+            if total >= PIECE:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
 def fragments(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, windows, key) of the maximal runs of windows of one key, over all texts."""
+    """(text, start, windows, key) of runs of windows of one key, over all texts."""
     parts: list[tuple] = []
-    at = 0
-    while at < len(texts):
-        upto, total = at, 0
-        while upto < len(texts) and total < 2_000_000:
-            total += len(texts[upto])
-            upto += 1
-        sizes = np.asarray([len(t) for t in texts[at:upto]])
-        if total >= window:
-            data = np.frombuffer(b"".join(texts[at:upto]), np.uint8)
-            key = window_keys(data, window)
-            owner = np.repeat(np.arange(upto - at), sizes)
-            start_of = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            inside = owner[: len(key)] == owner[window - 1 :]
-            change = (key[1:] != key[:-1]) | (owner[1 : len(key)] != owner[: len(key) - 1]) | (inside[1:] != inside[:-1])
-            begin = np.concatenate([[0], np.flatnonzero(change) + 1])
-            end = np.concatenate([begin[1:], [len(key)]])
-            good = inside[begin]
-            begin, end = begin[good], end[good]
-            own = owner[begin]
-            parts.append((own + at, begin - start_of[own], end - begin, mixed(key[begin])))
-        at = upto
+    for held in pieces(texts, window):
+        sizes = np.asarray([len(d) for _, _, d in held])
+        if sizes.sum() < window:
+            continue
+        data = np.frombuffer(b"".join(d for _, _, d in held), np.uint8)
+        key = window_keys(data, window)
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+        start_of = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        inside = owner[: len(key)] == owner[window - 1 :]
+        change = (key[1:] != key[:-1]) | (owner[1 : len(key)] != owner[: len(key) - 1]) | (inside[1:] != inside[:-1])
+        begin = np.concatenate([[0], np.flatnonzero(change) + 1])
+        end = np.concatenate([begin[1:], [len(key)]])
+        good = inside[begin]
+        begin, end = begin[good], end[good]
+        own = owner[begin]
+        text, offset = np.asarray([t for t, _, _ in held], np.int32), np.asarray([o for _, o, _ in held])
+        parts.append((text[own], (begin - start_of[own] + offset[own]).astype(np.int32), (end - begin).astype(np.int32), mixed(key[begin])))
     if not parts:
-        return tuple(np.empty(0, t) for t in (int, int, int, U))  # type: ignore[return-value]
+        return tuple(np.empty(0, t) for t in (np.int32, np.int32, np.int32, U))  # type: ignore[return-value]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
@@ -99,7 +120,7 @@ def dense(values: np.ndarray) -> np.ndarray:
     order = np.argsort(values)
     ordered = values[order]
     rank = np.empty(len(values), np.uint32)
-    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1], dtype=np.uint32)])
     return rank
 
 
@@ -108,50 +129,68 @@ def suffix_order(words: np.ndarray) -> np.ndarray:
 
     ``words`` ranks the eight bytes from each position on; ranks of twice the length come from pairs.
     """
-    rank, step = words, 8
+    rank, step = words, WORD
     while True:
         key = (rank.astype(U) << U(32)) | np.roll(rank, -step)
         step *= 2
         if step == 64:
-            return np.argsort(key)
+            return np.argsort(key).astype(np.int32)
         rank = dense(key)
 
 
 def sorted_by(symbols: np.ndarray) -> np.ndarray:
     """Stable order of symbols under 2^32, by a counting sort of each half."""
-    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable").astype(np.int32)
     high = (symbols >> 16).astype(np.uint16)
     return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
-def merged_intervals(shards: list[np.ndarray], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(position, block): all suffixes of the shards in merged order, positions counted over the shards
-    one after the other, and for each the number of its interval of suffixes with ``depth`` bytes in common.
+def merged_transforms(shards: list[np.ndarray], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(position, common): all suffixes of the shards in merged order, positions counted over the shards one after
+    the other, and the bytes that each has in common with the one before it, exact below ``depth``.
 
     A shard's transform holds, in suffix order, what comes before each suffix. Symbols are words of eight
-    bytes, and of single bytes for what is left of the depth, so a round refines by a whole word.
+    bytes from the merged alphabet of all shards, so a round refines by a whole word.
     """
-    sizes = [len(s) for s in shards]
+    sizes = np.asarray([len(s) for s in shards])
     ends = np.cumsum(sizes)
-    wide = dense(np.concatenate([words_at(np.concatenate([s, np.resize(s, 7)]), ">") for s in shards]))
-    words = np.split(wide, ends[:-1])
-    orders = [suffix_order(w) for w in words]
-    steps = [(8, [w[o - 8] for w, o in zip(words, orders, strict=True)])] * (depth // 8)
-    steps += [(1, [s[o - 1].astype(np.uint32) for s, o in zip(shards, orders, strict=True)])] * (depth % 8)
+    starts = ends - sizes
+    wide = [words_at(np.concatenate([s, np.resize(s, WORD - 1)]), ">") for s in shards]
+    own = [np.unique(w, return_inverse=True) for w in wide]
+    alphabet = np.unique(np.concatenate([a for a, _ in own]))
+    symbols_of = [np.searchsorted(alphabet, a).astype(np.uint32)[code] for a, code in own]
+    orders = [suffix_order(code.astype(np.uint32)) for _, code in own]
+    transforms = [w[o - WORD] for w, o in zip(symbols_of, orders, strict=True)]
+    del own, symbols_of
+    rounds = -(-depth // WORD)
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
     block = np.zeros(len(source), np.int32)
+    first_border = np.full(len(source), rounds, np.uint8)  # the round at which a border appears before a place
     symbol = np.empty(len(source), np.uint32)
-    for _, transforms in steps:
+    for r in range(rounds):
         for s, transform in enumerate(transforms):
             symbol[source == s] = transform
         by_symbol = sorted_by(symbol)
-        source, block, symbols = source[by_symbol], block[by_symbol], symbol[by_symbol]
-        border = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
-        block = np.concatenate([[0], np.cumsum(border, dtype=np.int32)]).astype(np.int32)
+        source, block, ordered = source[by_symbol], block[by_symbol], symbol[by_symbol]
+        border = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (block[1:] != block[:-1])])
+        first_border[border & (first_border == rounds)] = r
+        block = np.cumsum(border, dtype=np.int32)
     position = np.empty(len(source), np.int64)
-    for s, (order, before) in enumerate(zip(orders, ends - sizes, strict=True)):
+    for s, (order, before) in enumerate(zip(orders, starts, strict=True)):
         position[source == s] = order + before
-    return position, block
+    common = first_border.astype(np.int32) * WORD
+    at = np.flatnonzero(first_border[1:] < rounds) + 1
+    every = np.concatenate(wide)
+    skip = common[at]
+
+    def word_from(places: np.ndarray) -> np.ndarray:
+        shard = source[places]
+        return every[starts[shard] + (position[places] - starts[shard] + skip) % sizes[shard]]
+
+    differ = word_from(at) ^ word_from(at - 1)
+    for b in range(1, WORD):
+        common[at] += (differ >> U(64 - 8 * b)) == 0
+    return position, common
 
 
 def repeated_windows(parts: list[bytes], first: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -160,18 +199,18 @@ def repeated_windows(parts: list[bytes], first: np.ndarray, window: int = WINDOW
     count = min(255, max(2, -(-total // SHARD_BYTES)), len(parts))
     cuts = np.linspace(0, len(parts), count + 1).astype(int)
     shards = [np.frombuffer(b"\0".join(parts[a:b]) + b"\0", np.uint8) for a, b in zip(cuts, cuts[1:], strict=False)]
-    position, block = merged_intervals(shards, window)
-    sizes = np.asarray([len(p) + 1 for p in parts])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    whole = np.arange(total) + window < starts[owner] + sizes[owner]  # windows that end inside their fragment
-    ids = first[owner]
-    ranked = np.where(whole, ids, LAST_ID)[position]
-    begins = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
+    position, common = merged_transforms(shards, window)
+    sizes = np.asarray([len(p) + 1 for p in parts], np.int32)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    whole = np.arange(total, dtype=np.int32) + window < starts[owner] + sizes[owner]  # windows that end inside their fragment
+    rank = np.unique(first, return_inverse=True)[1].astype(np.int32)[owner]
+    ranked = np.where(whole, rank, np.int32(2**31 - 1))[position]
+    begins = np.flatnonzero(common < window)  # a repeated interval goes on while the common prefix reaches the window
     smallest = np.minimum.reduceat(ranked, begins)
-    lowest = np.empty(total, np.int64)
+    lowest = np.empty(total, np.int32)
     lowest[position] = np.repeat(smallest, np.diff(np.concatenate([begins, [total]])))
-    hit = np.flatnonzero(whole & (lowest < ids))
+    hit = np.flatnonzero(whole & (lowest < rank))
     out: list[np.ndarray] = [np.empty(0, np.int32)] * len(parts)
     if len(hit):
         new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
@@ -187,7 +226,7 @@ def repeated_windows(parts: list[bytes], first: np.ndarray, window: int = WINDOW
 
 def _packed(keys: np.ndarray) -> bytes:
     """Five bytes a key: with the part that it is dealt to, all but a few of its 64 bits."""
-    return np.ascontiguousarray((keys >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -196,6 +235,19 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    return keys >> U(24) & U((1 << 40) - 1)
+
+
+def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, indices of its keys) for the parts of the key space that have any."""
+    part = (keys % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    found, begin = np.unique(part[order], return_index=True)
+    for p, own in zip(found.tolist(), np.split(order, begin[1:]), strict=bool(len(found))):
+        yield p, own
+
+
 def once_a_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each text of a task once, and at the end the smallest document of those texts that came again."""
     smallest: dict[tuple, int] = {}
@@ -220,15 +272,20 @@ def folded(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(doc=doc)[pdf["data"].notna()].drop_duplicates(["mark", "mark2"])
 
 
+FOUND = "doc long, mark long, mark2 long, start int, size int, key long, print long, low long, part binary"
+
+
 def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, mark, mark2, start, key, part) of the fragments whose key occurs in two different texts or more.
+    """``FOUND`` rows of the fragments whose key occurs in two different texts or more.
 
     ``docs`` has (doc, mark, mark2, data), marks standing for the text. Equal texts are folded inside tasks
-    before the shuffle, and then by group. Keys meet packed by (group of texts, part of the key space), a
-    number of rows that does not follow the documents.
+    before the shuffle, and then by group. Of equal fragments of a group one has the bytes and the smallest
+    document (part, low), so what follows sees each at most once a group.
     """
+    import xxhash
+
     size = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    groups = max(8, -(-size // GROUP_BYTES))
+    groups, parts = max(8, -(-size // GROUP_BYTES)), max(8, -(-size // PART_BYTES))
     texts_once = docs.mapInPandas(once_a_task, "doc long, mark long, mark2 long, data binary")
     dealt = texts_once.withColumn("g", F.pmod("mark", F.lit(groups)).cast("int")).repartition(groups, "g")
 
@@ -240,14 +297,8 @@ def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         end = np.concatenate([begin[1:], [len(key)]]).astype(int)
         twice = text[end - 1] != text[begin] if len(key) else np.empty(0, bool)
         key = key[begin]
-        part = (key % U(groups)).astype(int)
-        g, rows = pdf["g"].iat[0], []
-        by_part = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by_part], np.arange(groups + 1))
-        for p in range(groups):
-            own = by_part[cuts[p] : cuts[p + 1]]
-            if len(own):
-                rows.append((p, g, _packed(key[own]), np.packbits(twice[own]).tobytes()))
+        short = _short(key)
+        rows = [(p, pdf["g"].iat[0], _packed(short[own]), np.packbits(twice[own]).tobytes()) for p, own in _by_part(key, parts)]
         return pd.DataFrame(rows, columns=["p", "g", "keys", "twice"])
 
     def shared_of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -255,76 +306,108 @@ def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         twice = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)).astype(bool) for b, k in zip(pdf["twice"], each, strict=True)]
         every = np.sort(np.concatenate([*each, *(k[t] for k, t in zip(each, twice, strict=True))]))
         again = np.unique(every[1:][every[1:] == every[:-1]])
-        p, rows = pdf["p"].iat[0], []
+        rows = []
         for g, k in zip(pdf["g"], each, strict=True):
             own = k[np.isin(k, again, kind="sort")]
             if len(own):
-                rows.append((g, p, np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
+                rows.append((g, pdf["p"].iat[0], _packed(own)))
         return pd.DataFrame(rows, columns=["g", "p", "keys"])
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"doc": [], "mark": [], "mark2": [], "start": [], "key": [], "part": []})
+            return pd.DataFrame({f.split()[0]: [] for f in FOUND.split(", ")})
         left = folded(left)
         texts = left["data"].tolist()
         text, start, windows, key = fragments(texts, window)
-        part, short = key % U(groups), key >> U(24) & U((1 << 40) - 1)
-        keep = np.zeros(len(key), bool)
-        by_part = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by_part], np.arange(groups + 1))
-        for p, blob in zip(right["p"], right["keys"], strict=True):
-            own = by_part[cuts[p] : cuts[p + 1]]
-            keep[own] = np.isin(short[own], _unpacked(blob), kind="sort")
-        text, start, windows, key = text[keep], start[keep], windows[keep], key[keep]
-        parts = [texts[t][s : s + n] for t, s, n in zip(text.tolist(), start.tolist(), (windows + window - 1).tolist(), strict=True)]
-        same = {c: left[c].to_numpy()[text] for c in ("doc", "mark", "mark2")}
-        return pd.DataFrame(same | {"start": start.astype(np.int32), "key": key.view(np.int64), "part": parts})
+        short, keep = _short(key), np.zeros(len(key), bool)
+        shared = dict(zip(right["p"].tolist(), right["keys"], strict=True))
+        for p, own in _by_part(key, parts):
+            if p in shared:
+                keep[own] = np.isin(short[own], _unpacked(shared[p]), kind="sort")
+        text, start, size, key = text[keep], start[keep], windows[keep] + np.int32(window - 1), key[keep].view(np.int64)
+        doc, mark, mark2 = (left[c].to_numpy()[text] for c in ("doc", "mark", "mark2"))
+        cuts = [texts[t][s : s + n] for t, s, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True)]
+        told = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in cuts), np.uint64, len(cuts)).view(np.int64)
+        order = np.lexsort((doc, told, key))
+        new = np.concatenate([[True], (told[order][1:] != told[order][:-1]) | (key[order][1:] != key[order][:-1])]) if len(order) else np.empty(0, bool)
+        least = order[new]
+        low, part = np.full(len(key), -1), np.full(len(key), None, object)
+        low[least] = doc[least]
+        for k in least.tolist():
+            part[k] = cuts[k]
+        return pd.DataFrame({"doc": doc, "mark": mark, "mark2": mark2, "start": start, "size": size, "key": key, "print": told, "low": low, "part": part})
 
     keys = dealt.groupBy("g").applyInPandas(keys_of, "p int, g int, keys binary, twice binary")
-    shared = keys.repartition(groups, "p").groupBy("p").applyInPandas(shared_of, "g int, p int, keys binary")
-    return dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(cut, "doc long, mark long, mark2 long, start int, key long, part binary")
+    shared = keys.repartition(parts, "p").groupBy("p").applyInPandas(shared_of, "g int, p int, keys binary")
+    return dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(cut, FOUND)
+
+
+def hot_windows(fragments_of_hot: DataFrame, window: int) -> DataFrame:
+    """(key, print, first, spans) of different fragments (key, print, part, first), by the hashes of their windows."""
+    starts = F.sequence(F.lit(0), F.octet_length("part") - window)
+    at = F.posexplode(F.transform(starts, lambda i: F.substring("part", i + 1, F.lit(window)))).alias("at", "w")
+    rows = fragments_of_hot.select("key", "print", "first", at).select("key", "print", "first", "at", F.xxhash64("w").alias("h"), F.xxhash64(F.lit("second"), "w").alias("h2"))
+    lowest = rows.groupBy("h", "h2").agg(F.min("first").alias("lowest"))
+    hit = rows.join(lowest, ["h", "h2"]).filter("lowest < first")
+    spans = hit.groupBy("key", "print").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + window))).alias("spans"))
+    known = fragments_of_hot.select("key", "print", "first")
+    return known.join(spans, ["key", "print"], "left").select("key", "print", "first", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))
+
+
+def decided(found: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """(key, print, first, spans) of each different fragment: its smallest document, and the ranges that a smaller one than that repeats."""
+    given = found.filter("part IS NOT NULL")
+    weight = F.sum(F.col("size").cast("long"))
+    hot = scratch.store(given.groupBy("key").agg(weight.alias("bytes")).filter(F.col("bytes") > HOT_BYTES).select("key"))
+    # Joined by broadcast only if the stored table is small enough for Spark to choose that.
+    different = given.groupBy("key", "print", "part").agg(F.min("low").alias("first"))
+    different = scratch.store(different.join(hot.withColumn("hot", F.lit(True)), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    cool = different.filter("NOT hot")
+    size = cool.agg(F.sum(F.octet_length("part"))).first()[0] or 0
+    tasks = max(8, -(-size // MERGE_BYTES))
+    placed = cool.select("key", "print", "part", "first", F.pmod("key", F.lit(tasks)).cast("int").alias("task")).repartition(tasks, "task")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["first"].to_numpy()
+        spans: list[np.ndarray] = [np.empty(0, np.int32)] * len(pdf)
+        shared = np.flatnonzero(pdf["key"].duplicated(keep=False))
+        if len(shared):
+            parts = pdf["part"].to_numpy()[shared].tolist()
+            for k, found_spans in zip(shared.tolist(), repeated_windows(parts, first[shared], window), strict=True):
+                spans[k] = found_spans
+        return pd.DataFrame({"key": pdf["key"], "print": pdf["print"], "first": first, "spans": spans})
+
+    merged = placed.groupBy("task").applyInPandas(merge, "key long, print long, first long, spans array<int>")
+    return scratch.store(merged.unionByName(hot_windows(different.filter("hot"), window)))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, spans) for every row: spans are the maximal removed byte ranges as start, end, start, end ..."""
+    """(doc_id, data, spans) for every row: spans are the maximal removed byte ranges as start, end, start, end ..."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(LAST_ID)).alias("doc"), data.alias("data"))
     rows = rows.withColumns({"mark": F.xxhash64("data"), "mark2": F.xxhash64(F.lit("second"), "data")})
-    found = stored(repeated_fragments(rows.select("doc", "mark", "mark2", "data"), window))
-    release(docs.sparkSession)
-    size = found.agg(F.sum(F.octet_length("part"))).first()[0] or 0
-    tasks = max(8, -(-size // GROUP_BYTES))
-    distinct = found.groupBy("key", "part").agg(F.min("doc").alias("first"))
-    placed = distinct.withColumn("task", F.pmod("key", F.lit(tasks)).cast("int")).repartition(tasks, "task")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, first = pdf["part"].tolist(), pdf["first"].to_numpy()
-        spans: list[np.ndarray] = [np.empty(0, np.int32)] * len(parts)
-        shared = np.flatnonzero(pdf["key"].duplicated(keep=False))
-        if len(shared):
-            for k, found_spans in zip(shared.tolist(), repeated_windows([parts[k] for k in shared], first[shared], window), strict=True):
-                spans[k] = found_spans
-        return pd.DataFrame({"key": pdf["key"], "part": parts, "first": first, "spans": spans})
-
-    merged = placed.groupBy("task").applyInPandas(merge, "key long, part binary, first long, spans array<int>")
-    merged = stored(merged.select("key", F.xxhash64("part").alias("print"), "first", "spans"))
-    release(docs.sparkSession)
-    seen = found.select("doc", "mark", "mark2", "start", F.octet_length("part").alias("size"), "key", F.xxhash64("part").alias("print"))
-    start = F.col("start")
-    own = F.when(F.col("doc") > F.col("first"), F.array(start, start + F.col("size"))).otherwise(F.transform("spans", lambda x: x + start))
-    spans = seen.join(merged, ["key", "print"]).select("mark", "mark2", own.alias("spans")).filter(F.size("spans") > 0)
-    spans = spans.groupBy("mark", "mark2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    of_text = rows.groupBy("mark", "mark2").agg(F.min("doc").alias("first")).join(spans, ["mark", "mark2"], "left")
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.store(repeated_fragments(rows.select("doc", "mark", "mark2", "data"), window))
+        merged = decided(found, scratch, window)
+        start = F.col("start")
+        own = F.when(F.col("doc") > F.col("first"), F.array(start, start + F.col("size"))).otherwise(F.transform("spans", lambda x: x + start))
+        spans = found.select("doc", "mark", "mark2", "start", "size", "key", "print").join(merged, ["key", "print"])
+        spans = spans.select("mark", "mark2", own.alias("spans")).filter(F.size("spans") > 0)
+        spans = scratch.store(spans.groupBy("mark", "mark2").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInPandas(united, "mark long, mark2 long, spans array<int>"))
+        texts = rows.groupBy("mark", "mark2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).join(spans, ["mark", "mark2"], "left")
+        of_text = stored(texts.filter("copies > 1 OR spans IS NOT NULL").drop("copies"))
     size_of = F.octet_length("data")
     whole = F.when(size_of >= window, F.array(F.lit(0), size_of))  # a copy of a text that a smaller document has
-    judged = rows.join(of_text, ["mark", "mark2"]).select("doc_id", "data", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
+    removed = F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("spans"))
+    # Both sides are plain exchanges, so the copies of one text can be dealt to several tasks.
+    judged = rows.join(of_text, ["mark", "mark2"], "left")
+    return judged.select("doc_id", "data", F.coalesce(removed, F.array().cast("array<int>")).alias("spans"))
 
-    def united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["spans"] = [joined(s) for s in frame["spans"]]
-            yield frame[["doc_id", "data", "spans"]]
 
-    return judged.mapInPandas(united, "doc_id long, data binary, spans array<int>")
+def united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        frame["spans"] = [joined(s) for s in frame["spans"]]
+        yield frame
 
 
 def joined(spans) -> np.ndarray:

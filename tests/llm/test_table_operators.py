@@ -215,7 +215,9 @@ def uncovered(texts, window):
     return out
 
 
-def test_repeated_passages(spark):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 150])
+def test_repeated_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7)))
     shared = [" ".join(word() for _ in range(rng.randrange(10, 60))) for _ in range(8)]
@@ -235,10 +237,46 @@ def test_repeated_passages(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_windows_of_a_hot_key_are_dealt_by_their_hash(spark):
+    left = [f"{k:04d} of text before " for k in range(40)]
+    parts = [(5, k, (s + "THE PASSAGE THAT EVERY ONE OF THEM HOLDS, WORD FOR WORD").encode(), k) for k, s in enumerate(left)]
+    rows = spark.createDataFrame(parts, "key long, print long, part binary, first long")
+    got = {r.print: suffix_dedup.joined(r.spans).tolist() for r in suffix_dedup.hot_windows(rows, 50).collect()}
+    want = {k: [] for k in range(40)}
+    for k, found in enumerate(suffix_dedup.repeated_windows([p[2] for p in parts], np.arange(40))):
+        want[k] = suffix_dedup.joined(found).tolist()
+    assert got == want and sum(map(bool, want.values())) == 39
+
+
+def test_long_texts_are_cut_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    texts = [bytes(rng.randrange(97, 101) for _ in range(n)) for n in (0, 49, 50, 700, 3000, 60)]
+    whole = suffix_dedup.fragments(texts)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    cut = suffix_dedup.fragments(texts)
+    windows = lambda f: sorted((t, s + k, key) for t, s, n, key in zip(*(x.tolist() for x in f), strict=True) for k in range(n))
+    assert windows(cut) == windows(whole) and len(windows(cut)) == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_passage_digest(spark, tmp_path):
+    rng = random.Random(13)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    texts = [f"{i} {shared[i % 30:]} {'é' * (i % 4)}{i * i}" if i % 3 else f"text {i}" for i in range(40)] + [None, "", "x" * 200_000, "x" * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"data": F.lit(1), "spans": F.lit("s")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    kept = uncovered([(i, (t or "").encode()) for i, t in enumerate(texts)], 50)
+    for r in suffix_dedup.op2_query(spark, str(tmp_path)).collect():
+        want[r.doc_id] = (len((texts[r.doc_id] or "").encode()), kept[r.doc_id][0])
+        assert (r.n_bytes, r.n_bytes - r.n_removed, r.kept_sha256) == (want[r.doc_id][0], len(want[r.doc_id][1]), hashlib.sha256(want[r.doc_id][1]).hexdigest())
+        assert (r.n_spans > 0) == (r.n_removed > 0)
+    assert len(want) == len(texts)
+
+
 def test_merged_transforms_are_sorted():
     rng = random.Random(9)
     shards = [np.frombuffer("".join(rng.choice("abc") for _ in range(rng.randrange(80, 200))).encode() + b"\0", np.uint8) for _ in range(3)]
-    position, block = suffix_dedup.merged_intervals(shards, 50)
+    position, common = suffix_dedup.merged_transforms(shards, 50)
     start = np.cumsum([0, *[len(s) for s in shards]])
     seen = []
     for p in position:
@@ -246,7 +284,9 @@ def test_merged_transforms_are_sorted():
         t = shards[k].tobytes() * 2
         seen.append(t[p - start[k] : p - start[k] + 50])
     assert seen == sorted(seen) and sorted(position) == list(range(start[-1]))
-    assert [a == b for a, b in zip(seen, seen[1:], strict=False)] == [x == y for x, y in zip(block, block[1:], strict=False)]
+    assert common[0] == 0
+    for a, b, n in zip(seen, seen[1:], common[1:].tolist(), strict=False):
+        assert min(n, 50) == next((k for k in range(50) if a[k] != b[k]), 50)
 
 
 def test_spans_join():
