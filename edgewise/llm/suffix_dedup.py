@@ -3,7 +3,7 @@
 A byte goes if a string of ``WINDOW`` bytes that covers it also starts in a document with a smaller
 id. Which strings repeat is read off the repeated intervals of merged transforms:
 
-1. Suffixes are dealt to tasks by content. A window's key is the smallest hash of the 16-byte grams
+1. Suffixes are dealt to tasks by content. A window's key is the smallest hash of the ``GRAM``-byte grams
    inside it, so windows of equal content meet, and as neighbours mostly share their key a text falls
    into fragments of one key, each with all the bytes of its windows. Keys of one text only have
    nothing to meet and are left out; that takes one exchange of packed keys.
@@ -41,15 +41,15 @@ from pyspark.sql import functions as F
 from edgewise.session import Scratch, stored
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 WORD = 8
 #: Bytes of text in a group whose fragments are cut together, and for each part of the key space.
 GROUP_BYTES = 6_000_000
 PART_BYTES = 24_000_000
 PIECE = 1_000_000
 #: Bytes of different fragments that a task merges, and in one of its shards; of one key before it counts as hot.
-MERGE_BYTES = 2_000_000
-SHARD_BYTES = 500_000
+MERGE_BYTES = 1_000_000
+SHARD_BYTES = 250_000
 HOT_BYTES = 1_000_000
 LAST_ID = (1 << 63) - 1
 U = np.uint64
@@ -68,7 +68,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def window_keys(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The smallest gram hash inside the window from each position on; at least ``window`` bytes are given."""
     w = words_at(data, "<")
-    h = mixed(w[:-8] * U(0x9E3779B97F4A7C15) + w[8:] * U(0xD6E8FEB86659FD93))
+    n = len(data) - GRAM + 1
+    h = mixed(w[:n] * U(0x9E3779B97F4A7C15) + w[8 : 8 + n] * U(0xD6E8FEB86659FD93) + w[16 : 16 + n] * U(0xA0761D6478BD642F))
     need, have = window - GRAM + 1, 1
     while have * 2 <= need:
         h = np.minimum(h[:-have], h[have:])
@@ -115,6 +116,19 @@ def fragments(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted different values."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def dense(values: np.ndarray) -> np.ndarray:
     """Ranks of values, equal ones alike."""
     order = np.argsort(values)
@@ -157,7 +171,7 @@ def merged_transforms(shards: list[np.ndarray], depth: int = WINDOW) -> tuple[np
     starts = ends - sizes
     wide = [words_at(np.concatenate([s, np.resize(s, WORD - 1)]), ">") for s in shards]
     own = [np.unique(w, return_inverse=True) for w in wide]
-    alphabet = np.unique(np.concatenate([a for a, _ in own]))
+    alphabet = distinct(np.concatenate([a for a, _ in own]))
     symbols_of = [np.searchsorted(alphabet, a).astype(np.uint32)[code] for a, code in own]
     orders = [suffix_order(code.astype(np.uint32)) for _, code in own]
     transforms = [w[o - WORD] for w, o in zip(symbols_of, orders, strict=True)]
@@ -305,10 +319,10 @@ def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         each = [_unpacked(b) for b in pdf["keys"]]
         twice = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)).astype(bool) for b, k in zip(pdf["twice"], each, strict=True)]
         every = np.sort(np.concatenate([*each, *(k[t] for k, t in zip(each, twice, strict=True))]))
-        again = np.unique(every[1:][every[1:] == every[:-1]])
+        again = distinct(every[1:][every[1:] == every[:-1]])
         rows = []
         for g, k in zip(pdf["g"], each, strict=True):
-            own = k[np.isin(k, again, kind="sort")]
+            own = k[among(k, again)]
             if len(own):
                 rows.append((g, pdf["p"].iat[0], _packed(own)))
         return pd.DataFrame(rows, columns=["g", "p", "keys"])
@@ -323,7 +337,7 @@ def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         shared = dict(zip(right["p"].tolist(), right["keys"], strict=True))
         for p, own in _by_part(key, parts):
             if p in shared:
-                keep[own] = np.isin(short[own], _unpacked(shared[p]), kind="sort")
+                keep[own] = among(short[own], np.sort(_unpacked(shared[p])))
         text, start, size, key = text[keep], start[keep], windows[keep] + np.int32(window - 1), key[keep].view(np.int64)
         doc, mark, mark2 = (left[c].to_numpy()[text] for c in ("doc", "mark", "mark2"))
         cuts = [texts[t][s : s + n] for t, s, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True)]
@@ -365,7 +379,7 @@ def decided(found: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     cool = different.filter("NOT hot")
     size = cool.agg(F.sum(F.octet_length("part"))).first()[0] or 0
     tasks = max(8, -(-size // MERGE_BYTES))
-    placed = cool.select("key", "print", "part", "first", F.pmod("key", F.lit(tasks)).cast("int").alias("task")).repartition(tasks, "task")
+    placed = cool.select("key", "print", "part", "first", F.pmod("key", F.lit(tasks)).cast("int").alias("task")).repartition(max(8, tasks // 4), "task")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf["first"].to_numpy()
