@@ -13,7 +13,9 @@ the block: the table is cut in ``FEW_BLOCKS`` blocks, or more once they would ex
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing and are their own component; vectors of fewer components count as filled up with zeros;
-repeated ids keep their rows; an empty table gives an empty result.
+repeated ids keep their rows, each judged by its own vector; rows without an id link as all others, but
+do not name a component (null if no row of it has an id); an empty table gives an empty result;
+columns other than id and vector are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -117,13 +119,13 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     usable = F.coalesce((F.size("embedding") > 0) & sound & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = given.withColumn("usable", usable)
     good = rows.filter("usable").select("vec_id", "embedding")
-    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("mark", F.monotonically_increasing_id()))  # ids may repeat, so classes have numbers of their own
     n, width = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if n:
         axes = principal_axes(classes, width)
         most = min(MOST_ROWS, max(LEAST_ROWS, -(-n // FEW_BLOCKS)))
-        # Ids need not be unique over classes where vec_id repeats, so blocks go by the vector itself.
-        marked = classes.withColumns({"all": F.lit(0), "members": F.lit(n), "mark": F.xxhash64("embedding")})
+        marked = classes.withColumns({"all": F.lit(0), "members": F.lit(n)})
         dealt = in_blocks(marked, "all", "mark", "members", most).select("block_a", "block_b", "block", "mark", "copies", "embedding")
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,17 +152,18 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         found = materialize(ordered.mapInPandas(run, "mark long, links long, root long"))
         groups = connected_components(found.select(F.col("mark").alias("src"), F.col("root").alias("dst")))
         counts = found.groupBy("mark").agg(F.sum("links").alias("links"))
-        placed = classes.withColumn("mark", F.xxhash64("embedding")).join(counts, "mark", "left")
+        placed = classes.join(counts, "mark", "left")
         placed = placed.join(groups.withColumnRenamed("id", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
         smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
         placed = placed.join(smallest, "component").select(
             "embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         )
     else:
-        placed = classes.select("embedding", F.col("rep").alias("component_id"), F.col("copies").alias("n_links"))
-    linked = good.join(placed, "embedding").select("vec_id", "n_links", "component_id")
+        placed = classes.select("embedding", F.col("rep").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+    # Stored first: both sides are plain exchanges then, and the copies of one vector can be dealt to several tasks.
+    linked = good.join(materialize(placed), "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.filter("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

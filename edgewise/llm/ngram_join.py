@@ -1,16 +1,19 @@
-"""Near-duplicate documents: Jaccard of word five-grams, found with MinHash LSH in fixed bands and verified exactly.
+"""Near-duplicate documents: Jaccard of word five-grams, found with a MinHash LSH forest and verified exactly.
 
 1. Every text becomes its set of hashed five-grams. Documents with equal sets form one class, so
    copies never multiply. A class has ``trees * depth`` minima as its signature.
-2. The signature is cut into fixed bands, one a tree, in place of a forest of sorted prefix tries: rows
-   meet if all minima of a band are equal. The depth of a band is the largest up to ``MOST_DEPTH`` at
-   which the recall at the threshold, 1 - (1 - t^depth)^trees, reaches the target. It depends on the
-   threshold alone, as one fixed threshold is asked for; no prefix is shortened over the data.
-3. Rows with a common prefix are compared by whole signatures, and pairs far below the threshold
-   are put aside (five and a half standard errors). What is left forms candidate groups.
+2. The forest has ``trees`` tries. A class's path in a tree is a sequence of ``DEEPEST`` of its minima:
+   ``depth`` of the tree's own, then those of the trees that follow. Paths meet at the node of their
+   first ``depth`` minima; below it they are sorted, and neighbours' common prefixes give the trie.
+3. Matched prefixes are shortened level by level. At each level the pairs that newly share a node and
+   are not tied yet are compared by whole signatures, and tied unless they are far below the threshold
+   (five and a half standard errors). A trie whose classes are all tied needs no shorter prefix;
+   the others go on until the recall at the threshold, 1 - (1 - t^level)^trees, reaches the target: that
+   level is ``depth``, the longest prefix up to ``DEEPEST`` that does. What is skipped is tied already, so
+   the recall is that of comparing all pairs of all nodes at ``depth``. Tied classes form candidate groups.
 4. Inside a candidate group all pairs of classes are compared exactly, with their whole sets.
 
-Large prefixes and groups are cut into blocks; pairs of blocks are compared apart from each other,
+Large nodes and groups are cut into blocks; pairs of blocks are compared apart from each other,
 so no task holds more than two blocks. Only counts and spanning edges leave a block, never pairs.
 
 Edge cases: a null, empty or blank text has no five-grams and links with nothing; a text of one to
@@ -34,9 +37,9 @@ from edgewise.operators.components import connected_components
 from edgewise.session import materialize
 
 MINIMA = 120
-MOST_DEPTH = 10
+DEEPEST = 10
 TARGET_RECALL = 0.9999
-PREFIX_BLOCK = 512
+NODE_BLOCK = 512
 GROUP_BLOCK = 256
 #: Words whose hashes a worker keeps before it starts anew.
 CACHE_WORDS = 500_000
@@ -44,7 +47,7 @@ CACHE_WORDS = 500_000
 
 def forest_shape(threshold: float, target: float = TARGET_RECALL, minima: int = MINIMA) -> tuple[int, int]:
     """(depth, trees): the longest prefix whose trees reach the target recall at the threshold."""
-    for depth in range(MOST_DEPTH, 0, -1):
+    for depth in range(DEEPEST, 0, -1):
         trees = minima // depth
         if 1 - (1 - threshold**depth) ** trees >= target:
             return depth, trees
@@ -97,7 +100,7 @@ def minima_of(grams: np.ndarray, count: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, depth: int, trees: int, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, text_md5, grams, digest, prefixes, sig): one row a document."""
+    """(doc_id, text_md5, grams, digest, sig): one row a document; ``sig`` has two bytes of each minimum."""
     import xxhash
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,19 +110,18 @@ def signatures(docs: DataFrame, depth: int, trees: int, id_col: str = "doc_id",
             for text in frame["text"]:
                 g = shingler.grams(text)
                 if not len(g):
-                    out.append((0, b"", [], b""))
+                    out.append((0, b"", b""))
                     continue
-                m = minima_of(g, depth * trees)
-                prefixes = [xxhash.xxh64_intdigest(m[t * depth : (t + 1) * depth].tobytes(), t) - (1 << 63) for t in range(trees)]
-                out.append((len(g), xxhash.xxh128_digest(g.tobytes()), prefixes, m.astype(np.uint8).tobytes()))
-            signed = pd.DataFrame(out, columns=["grams", "digest", "prefixes", "sig"])
+                # The low halves: the high ones of minima are mostly zero.
+                out.append((len(g), xxhash.xxh128_digest(g.tobytes()), minima_of(g, depth * trees).astype("<u2").tobytes()))
+            signed = pd.DataFrame(out, columns=["grams", "digest", "sig"])
             yield pd.concat([frame[["doc_id", "known", "text_md5"]].reset_index(drop=True), signed], axis=1)
 
     # Null ids travel as 0 and a flag: pandas would turn the ids beside them into floats.
     key = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0).cast("long")).alias("doc_id"), key.isNotNull().alias("known"), F.md5(F.col(text_col)).alias("text_md5"), F.col(text_col).alias("text"))
-    signed = rows.mapInPandas(run, "doc_id long, known boolean, text_md5 string, grams long, digest binary, prefixes array<long>, sig binary")
-    return signed.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "text_md5", "grams", "digest", "prefixes", "sig")
+    signed = rows.mapInPandas(run, "doc_id long, known boolean, text_md5 string, grams long, digest binary, sig binary")
+    return signed.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "text_md5", "grams", "digest", "sig")
 
 
 def grouped(frames: Iterator, keys: list[str]) -> Iterator:
@@ -167,14 +169,41 @@ def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _similar(sigs: np.ndarray, least: float) -> np.ndarray:
-    """Pairs of rows whose signatures agree in a share of ``least``."""
-    found = []
-    for i in range(len(sigs) - 1):
-        agree = (sigs[i + 1 :] == sigs[i]).mean(axis=1)
-        hits = np.flatnonzero(agree >= least)
-        found.append(np.stack([np.full(len(hits), i), hits + i + 1], 1))
-    return np.concatenate(found) if found else np.empty((0, 2), int)
+def tied_in_trie(paths: np.ndarray, sigs: np.ndarray, least: float, floor: int) -> np.ndarray:
+    """Spanning pairs of the rows of one node, tied at the longest prefixes that they share, shortened down to ``floor``.
+
+    ``paths`` are the rows' minima along the tree. Pairs are compared by signature at the level where they
+    first share a node, unless they are tied by then.
+    """
+    order = np.lexsort(paths.T[::-1])
+    sorted_paths, sorted_sigs = paths[order], sigs[order]
+    common = np.cumprod(sorted_paths[1:] == sorted_paths[:-1], axis=1).sum(axis=1)  # with the row before
+    near = (common >= floor) & ((sorted_sigs[1:] == sorted_sigs[:-1]).mean(axis=1) >= least)
+    pairs = [np.stack([order[1:][near], order[:-1][near]], 1)]
+    n = len(order)
+    if near.all():
+        return pairs[0]
+    root = roots_of(n, np.stack([np.flatnonzero(near) + 1, np.flatnonzero(near)], 1))
+    deeper = np.arange(n)  # nodes one level below
+    for level in range(paths.shape[1], floor - 1, -1):
+        node = np.concatenate([[0], np.cumsum(common < level)])
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+            for i in range(a, b - 1):
+                other = np.flatnonzero((root[i + 1 : b] != root[i]) & (deeper[i + 1 : b] != deeper[i])) + i + 1
+                if not len(other):
+                    continue
+                hits = other[(sorted_sigs[other] == sorted_sigs[i]).mean(axis=1) >= least]
+                for r in np.unique(root[hits]).tolist():
+                    pairs.append(np.array([[order[i], order[hits[root[hits] == r][0]]]]))
+                    low, high = min(r, root[i]), max(r, root[i])
+                    root[root == high] = low
+                    if not (root[a:b] != root[a]).any():
+                        break
+            if not root.any():
+                return np.concatenate(pairs)
+        deeper = node
+    return np.concatenate(pairs)
 
 
 def in_blocks(rows: DataFrame, key: str, id_col: str, count: str, most: int) -> DataFrame:
@@ -189,35 +218,35 @@ def in_blocks(rows: DataFrame, key: str, id_col: str, count: str, most: int) ->
     return placed.withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")}).drop("other")
 
 
-def candidate_groups(classes: DataFrame, least: float) -> DataFrame:
-    """(id, component) of classes that have a candidate, from (rep, prefixes, sig); ``rep`` is the number of a class."""
+def candidate_groups(classes: DataFrame, least: float, depth: int, trees: int) -> DataFrame:
+    """(id, component) of classes that have a candidate, from (rep, sig); ``rep`` is the number of a class."""
 
-    rows = classes.select("rep", F.explode("prefixes").alias("prefix"))
-    shared = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = rows.join(shared, "prefix").join(classes.select("rep", "sig"), "rep")
-    dealt = in_blocks(met, "prefix", "rep", "members", PREFIX_BLOCK).select("prefix", "block_a", "block_b", "rep", "sig")
+    own = lambda t: F.substring(F.col("sig"), t * (2 * depth) + 1, F.lit(2 * depth))
+    # A node's address is a hash; that its rows share their minima is seen in the trie.
+    places = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, own(t)))
+    rows = classes.select("rep", F.posexplode(places).alias("tree", "node"))
+    shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = rows.join(shared, "node").join(classes.select("rep", "sig"), "rep")
+    dealt = in_blocks(met, "node", "rep", "members", NODE_BLOCK).select("node", "block_a", "block_b", "tree", "rep", "sig")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[np.ndarray] = []
-        for g in grouped(frames, ["prefix", "block_a", "block_b"]):
+        for g in grouped(frames, ["node", "block_a", "block_b"]):
             ids = g["rep"].to_numpy()
             if len(ids) < 2:
                 continue
-            sigs = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(ids), -1)
-            near = (sigs[1:] == sigs[:-1]).mean(axis=1) >= least
-            if near.all():
-                kept.append(np.stack([ids[1:], ids[:-1]], 1))
-            elif len(ids) > 2:
-                root = roots_of(len(ids), _similar(sigs, least))
-                tied = root != np.arange(len(ids))
-                kept.append(np.stack([ids[tied], ids[root[tied]]], 1))
+            sigs = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(len(ids), -1)
+            along = (g["tree"].iat[0] * depth + np.arange(DEEPEST)) % sigs.shape[1]
+            pairs = tied_in_trie(sigs[:, along], sigs, least, depth)
+            if len(pairs):
+                kept.append(ids[pairs])
             if len(kept) >= 5000:
                 yield pd.DataFrame(np.unique(np.concatenate(kept), axis=0), columns=["src", "dst"])
                 kept = []
         if kept:
             yield pd.DataFrame(np.unique(np.concatenate(kept), axis=0), columns=["src", "dst"])
 
-    ordered = dealt.repartition("prefix", "block_a", "block_b").sortWithinPartitions("prefix", "block_a", "block_b")
+    ordered = dealt.repartition("node", "block_a", "block_b").sortWithinPartitions("node", "block_a", "block_b")
     return connected_components(ordered.mapInPandas(run, "src long, dst long"))
 
 
@@ -257,11 +286,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     depth, trees = forest_shape(threshold)
     signed = materialize(signatures(docs, depth, trees, id_col, text_col, size))
     classes = signed.filter("grams > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_md5")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_md5")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")
     )
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))
     least = threshold - 5.5 * (threshold * (1 - threshold) / (depth * trees)) ** 0.5
-    groups = materialize(candidate_groups(classes, least))
+    groups = materialize(candidate_groups(classes, least, depth, trees))
     members = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     placed = groups.join(members, "component").withColumnRenamed("id", "rep").join(classes.select("rep", "at", "copies"), "rep")
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text_col)).alias("text_md5"), F.col(text_col).alias("text"))
@@ -302,6 +331,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     by_digest = classes.select("digest", "rep", "low", "copies").join(links, "rep", "left").select(
         "digest", F.coalesce("class_low", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
+    by_digest = materialize(by_digest)  # so that both sides are plain exchanges, and the copies of one text can be dealt to several tasks
     with_grams = signed.filter("grams > 0").select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "class_id", "n_links")
     without = signed.filter("grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_grams.unionByName(without)
