@@ -1,7 +1,7 @@
 """Personal data in whole texts, found in DataFrame operations only.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for IBANs, the
-ranges of address parts, the digits of phone numbers), and words shortly before a span move its
+ranges of address parts, the digits of phone numbers), and words shortly before or after a span move its
 score. Four base kinds (email, ip, card, phone) are kept whenever they are valid; the further kinds
 (iban, ssn, secret) need a score of ``threshold``.
 
@@ -11,7 +11,8 @@ more than one run of characters.
 
 Edge cases: a null text is treated as empty and has no spans; an empty table gives an empty result;
 very long runs without a match take linear time; repeated rows are judged alike; columns of the
-input whose names clash with those added are replaced in the output.
+input named as those that ``find_pii`` adds are replaced in its output, all others stay, whatever
+their names; ``redact`` changes no column but the text.
 """
 
 from __future__ import annotations
@@ -104,8 +105,8 @@ def _spans(kind: Kind, text: Column, found: Column, threshold: float) -> Column:
 
     def scored(s: Column) -> Column:
         begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        before = text.substr(begin + 1, s["start"] - begin)
-        score = F.lit(kind.score) + F.when(before.rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
+        before, after = text.substr(begin + 1, s["start"] - begin), text.substr(s["end"] + 1, F.lit(CONTEXT_CHARS))
+        score = F.lit(kind.score) + F.when(before.rlike(kind.context) | after.rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"), s["m"].alias("match"))
 
     out = F.transform(placed, scored)
@@ -113,29 +114,45 @@ def _spans(kind: Kind, text: Column, found: Column, threshold: float) -> Column:
     return F.when(F.size(found) > 0, out).otherwise(F.array().cast(SPAN))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with a column ``spans_<kind>`` for each kind: kind, start, end, score and match of each span."""
+def _free(docs: DataFrame, stem: str) -> str:
+    """A prefix that no column of ``docs`` begins with."""
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem = "_" + stem
+    return stem
+
+
+def _with_spans(docs: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame, str]:
+    """``docs`` with a column of spans for each kind, and the prefix of these columns' names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     nothing = F.array().cast("array<string>")
-    found = {
-        f"found_{k.name}": F.when(F.contains(text, F.lit(k.hint)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(nothing)
+    found, spans = _free(docs, "_found_"), _free(docs, "_spans_")
+    matches = {
+        found + k.name: F.when(F.contains(text, F.lit(k.hint)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(nothing)
         if k.hint
         else F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
         for k in KINDS
     }
-    spans = {f"spans_{k.name}": _spans(k, text, F.col(f"found_{k.name}"), threshold) for k in KINDS}
-    return docs.withColumns(found).withColumns(spans).drop(*found)
+    placed = {spans + k.name: _spans(k, text, F.col(found + k.name), threshold) for k in KINDS}
+    return docs.withColumns(matches).withColumns(placed).drop(*matches), spans
+
+
+def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with a column ``spans_<kind>`` for each kind: kind, start, end, score and match of each span."""
+    out, spans = _with_spans(docs, text_col, threshold)
+    added = {f"spans_{k.name}": F.col(spans + k.name) for k in KINDS}
+    return out.select(*[c for c in docs.columns if c.lower() not in added], *[v.alias(k) for k, v in added.items()])
 
 
-def span_text(kinds: list[str]) -> Column:
+def span_text(kinds: list[str], prefix: str = "spans_") -> Column:
     """kind:start:end of all spans of ``kinds``, comma-joined."""
-    every = F.concat(*[F.col(f"spans_{k}") for k in kinds])
+    every = F.concat(*[F.col(prefix + k) for k in kinds])
     return F.array_join(F.transform(every, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; of overlapping spans the first, then longer, counts."""
-    every = F.concat(*[F.col(f"spans_{k.name}") for k in KINDS])
+    found, spans = _with_spans(docs, text_col, threshold)
+    every = F.concat(*[F.col(spans + k.name) for k in KINDS])
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
     text = F.col(text_col)
 
@@ -150,7 +167,6 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
         step,
         lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))),
     )
-    found = find_pii(docs, text_col, threshold)
     return found.withColumn(text_col, F.when(F.size(every) > 0, clean).otherwise(text)).select(*docs.columns)
 
 
@@ -166,5 +182,5 @@ def op5_query(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_pii": op5_query}
-#: DuckDB's patterns know neither context windows nor \G; the query is tested against brute force in tests/llm/test_pii.py.
+#: DuckDB's patterns know neither context windows nor \G; the query is tested against brute force in tests/llm/test_text_operators.py.
 SQL: dict[str, str] = {}

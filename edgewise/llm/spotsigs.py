@@ -14,20 +14,18 @@ Edge cases: a null text is empty; a text without words has an empty fingerprint;
 but without a complete chain has a signature for each pair of adjacent words, or one of all of it
 if there is one word; two empty fingerprints are alike to
 1, an empty and another one to 0; equal texts have equal fingerprints; rows with one id are ordered
-by a hash of their text; null ids come last; an empty table gives an empty result.
+by a hash of their text; null ids come last, by that hash; an empty table gives an empty result;
+columns other than id and text are not read by ``with_next``, and ``fingerprints`` replaces columns
+named signatures and fingerprint.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.session import materialize
 
-#: Short words that a chain may skip in a row: there is no limit.
-MOST_SKIPPED = math.inf
 WORD, GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]++"
 LONG = rf"{WORD}{{4,}}+"
 
@@ -89,7 +87,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     share one of their rarest n - ceil(threshold * n) + 1. Both sides are joined by such a
     signature and a range of set lengths, so frequent signatures of unlike lengths never meet.
     """
-    marked = docs.select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col), F.lit(""))).alias("sigs")).filter(F.size("sigs") > 0)
+    marked = docs.select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col), F.lit(""))).alias("sigs"))
     marked = materialize(marked)
     classes = materialize(marked.groupBy("sigs").agg(F.min("id").alias("rep")))
     rows = classes.select("rep", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
@@ -107,10 +105,10 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     return marked.join(classes, "sigs").select("id", "rep"), pairs
 
 
-def _bucket(ids: DataFrame, spark: SparkSession, rows_each: int = 1000, coarse: int = 32) -> Column:
-    """A bucket number that rises with doc_id: ``coarse`` quantiles, each cut evenly; -1 for nulls.
+def _bucket(ids: DataFrame, print_: Column, rows_each: int = 100, coarse: int = 32) -> Column:
+    """A bucket number that rises with doc_id: ``coarse`` quantiles, each cut evenly; rows without an id by their print, below all others.
 
-    Only the quantiles come to the driver, a fixed number. Buckets even out the work; any cut is correct.
+    Only the quantiles and a count come to the driver. Buckets even out the work; any cut is correct.
     """
     known = ids.filter("doc_id IS NOT NULL")
     bounds = sorted({int(x) for x in known.agg(F.percentile_approx("doc_id", [i / coarse for i in range(coarse + 1)], 10_000).alias("q"), F.lit(0)).first()["q"] or []})
@@ -119,9 +117,9 @@ def _bucket(ids: DataFrame, spark: SparkSession, rows_each: int = 1000, coarse:
     place = F.lit(0).cast("long")
     x = F.col("doc_id")
     for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        inside = F.least(F.floor((x - lo).cast("double") / float(max(1, hi - lo)) * fine), F.lit(fine - 1)).cast("long")
+        inside = F.least(F.floor((x.cast("double") - float(lo)) / float(max(1, hi - lo)) * fine), F.lit(fine - 1)).cast("long")
         place = F.when(x >= lo, inside + k * fine).otherwise(place)
-    return F.when(x.isNull(), F.lit(-1).cast("long")).otherwise(place)
+    return F.when(x.isNull(), F.lit(-1).cast("long") - (F.shiftright(print_, 52) + 2048)).otherwise(place)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -130,21 +128,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ids are cut into buckets; the first row of each bucket is also dealt to the bucket before it,
     so one shuffle of the texts is enough and no bucket grows with the table.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = rows.withColumn("bucket", _bucket(docs.select("doc_id"), docs.sparkSession))
-    heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    down = Window.orderBy(F.desc("bucket"))  # one row a bucket, of which there are at most 32 * 10,000
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
+    placed = rows.withColumn("bucket", _bucket(docs.select("doc_id"), F.col("print")))
+    # The first row of a bucket: the largest id, and of the rows that have it the smallest print.
+    order_of = F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("minus_id"), F.col("print"))
+    heads = placed.groupBy("bucket").agg(F.min(order_of).alias("head"))
+    down = Window.orderBy(F.desc("bucket"))  # one row a bucket, of which there are at most 32 * 10,000 and 4,096
     last = F.min("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.withColumn("before", F.coalesce(F.lag("bucket").over(down), last)).select("head", "before", F.col("bucket").alias("of_bucket"))
-    tied = placed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("bucket") == F.col("of_bucket")), "left")
+    tied = placed.join(F.broadcast(heads), (F.col("bucket") == F.col("of_bucket")) & (order_of == F.col("head")), "left")
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ghost"))
     there = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ghost"))
     dealt = tied.withColumn("place", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
-    dealt = dealt.select("doc_id", "text", "place.bucket", "place.ghost").repartition("bucket")
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    dealt = dealt.select("doc_id", "text", "print", "place.bucket", "place.ghost").repartition("bucket")
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "print")
     led = dealt.withColumn("sigs", signatures(F.col("text")))
     led = led.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)})
-    return led.filter("NOT ghost").drop("bucket", "ghost")
+    return led.filter("NOT ghost").drop("bucket", "ghost", "print")
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
