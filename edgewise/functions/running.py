@@ -1,4 +1,4 @@
-"""Running aggregates over a whole table in one order, without gathering it in one task."""
+"""Running aggregates in one order, over a whole table or by key, without gathering a table or a key in one task."""
 
 from __future__ import annotations
 
@@ -8,38 +8,52 @@ from pyspark.sql import functions as F
 AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def with_bucket(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
+#: Rows that a bucket of one key may hold if the key has all rows; the number of buckets is bounded by 8 and 256.
+BUCKET_ROWS = 500_000
+
+
+def with_bucket(df: DataFrame, order: str, keyed: bool = False) -> DataFrame:
     """``df`` with a bucket number that rises with ``order``: an even cut of the range of its values.
 
-    Only the two ends come to the driver. Order numbers of streams are dense, so the cut is even.
+    Only the two ends and the count come to the driver, by a job that runs when this is called. Order numbers of streams are dense, so the cut is even.
     """
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    lo, hi, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
     if lo is None or lo == hi:
         return df.withColumn("bucket", F.lit(0).cast("long"))
+    buckets = max(8, min(256, rows // BUCKET_ROWS)) if keyed else 256
     width = -(-(hi - lo + 1) // buckets)
     return df.withColumn("bucket", F.floor((F.col(order) - lo) / width).cast("long"))
 
 
-def running(df: DataFrame, order: str, value: Column, kind: str = "sum", name: str = "total", before: str | None = None) -> DataFrame:
-    """``df`` with the aggregate of ``value`` over all rows up to and including each, by ``order``.
+def running(
+    df: DataFrame, order: str, value: Column, kind: str = "sum", name: str = "total", before: str | None = None, by: tuple[str, ...] = (), then: tuple[str, ...] = ()
+) -> DataFrame:
+    """``df`` with the aggregate of ``value`` over all rows up to and including each, by ``order``, within the columns ``by``.
 
-    Buckets are aggregated first; a window over one row a bucket carries on what earlier buckets
-    hold; each bucket then runs on its own. ``before`` names a second column without the row itself.
+    Buckets of ``order`` are aggregated first, which combines before the shuffle; a window over one row a key and
+    bucket, at most 256 a key, carries on what earlier buckets hold; each key's bucket then runs on its own, so a key
+    with a large share of the rows takes as many tasks as others. Ties go by ``then``. ``before`` names a second
+    column without the row itself.
     """
     agg = AGGREGATES[kind]
-    placed = with_bucket(df.withColumn("_v", value), order)
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = placed.groupBy("bucket").agg(agg("_v").alias("_b")).select("bucket", agg("_b").over(ahead).alias("_c"))
-    own = Window.partitionBy("bucket").orderBy(order)
-    joined = placed.join(F.broadcast(carried), "bucket")  # at most 256 rows
-
-    def upto(frame) -> Column:
-        here = agg("_v").over(frame)
+    placed = with_bucket(df.withColumn("_v", value), order, bool(by))
+    ahead = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*by, "bucket").orderBy(order, *then)
+    here_upto, here_before = agg("_v").over(own.rowsBetween(Window.unboundedPreceding, 0)), agg("_v").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    inside = placed.withColumns({"_upto": here_upto, "_before": here_before} if before else {"_upto": here_upto})
+    carried = placed.groupBy(*by, "bucket").agg(agg("_v").alias("_b")).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("bucket").alias("_bucket"), agg("_b").over(ahead).alias("_c"))
+    same = F.col("bucket") == F.col("_bucket")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    # Without keys there are at most 256 rows to carry.
+    joined = inside.join(carried if by else F.broadcast(carried), same)
+
+    def upto(here: Column) -> Column:
         if kind == "sum":
             return F.coalesce(here, F.lit(0)) + F.coalesce("_c", F.lit(0))
         return (F.greatest if kind == "max" else F.least)(here, F.col("_c"))
 
-    out = joined.withColumn(name, upto(own.rowsBetween(Window.unboundedPreceding, 0)))
+    out = joined.withColumn(name, upto(F.col("_upto")))
     if before:
-        out = out.withColumn(before, upto(own.rowsBetween(Window.unboundedPreceding, -1)))
-    return out.drop("_v", "_c", "bucket")
+        out = out.withColumn(before, upto(F.col("_before")))
+    return out.drop("_v", "_c", "_upto", "_before", "bucket", "_bucket", *[f"_by_{c}" for c in by])

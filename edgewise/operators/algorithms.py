@@ -5,39 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgewise.functions.running import running
 from edgewise.operators.components import connected_components
 from edgewise.operators.edge_stream import EdgeStream
 from edgewise.operators.summaries.adjacency import AdjacencyGraph
-from edgewise.operators.summaries.disjoint_set import DisjointSet
 from edgewise.session import materialize
 
-#: Forest edges that one task joins in about a second.
-FEW_EDGES = 200_000
-
 # --- components ------------------------------------------------------------------------------------
 
 
 def components(stream: EdgeStream) -> DataFrame:
-    """(id, component): each partition keeps a spanning forest of its edges, and the forests are contracted together."""
-
-    def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = DisjointSet()
-        for frame in frames:
-            for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
-                sets.union(a, b)
-        rows = [(x, sets.find(x)) for x in list(sets.parent)]
-        yield pd.DataFrame(rows, columns=["src", "dst"]).astype("int64")
-
-    forests = stream.edges.select("src", "dst").dropna().mapInPandas(forest, "src long, dst long")
-    return connected_components(forests, one_task=FEW_EDGES)
+    """(id, component) by repeated contraction, in DataFrame operations only; partial minima combine before each shuffle."""
+    return connected_components(stream.edges)
 
 
-def components_iterative(stream: EdgeStream) -> DataFrame:
-    """(id, component) by repeated contraction of all edges, in DataFrame operations only."""
-    return connected_components(stream.edges)
+components_iterative = components
 
 
 def windowed_components(stream: EdgeStream, size: str) -> DataFrame:
@@ -120,7 +105,7 @@ def triangle_trace(stream: EdgeStream) -> DataFrame:
     timed = ordered.join(corner("p", "q", "s1"), ["p", "q"]).join(corner("q", "r", "s2"), ["q", "r"]).join(corner("p", "r", "s3"), ["p", "r"])
     events = timed.select(F.greatest("s1", "s2", "s3").alias("seq"), F.explode(F.array("p", "q", "r", F.lit(-1).cast("long"))).alias("id"))
     each = events.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("n"))
-    return each.select("id", F.sum("n").over(Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("triangles"), "seq")
+    return running(each, "seq", F.col("n"), name="triangles", by=("id",)).select("id", "triangles", "seq")
 
 
 def window_triangles(stream: EdgeStream, size: str) -> DataFrame:
@@ -144,46 +129,53 @@ def degree_changes(edges: DataFrame) -> DataFrame:
 
     A degree never falls below zero, and deletions at an unknown vertex do nothing, so the order of a vertex's events matters.
     """
-    ends = edges.select(F.posexplode(F.array("src", "dst")).alias("o", "id"), "op", (F.col("seq") * 4).alias("seq"))
+    ends = edges.select(F.posexplode(F.array("src", "dst")).alias("o", "id"), "op", "seq").select("id", "op", (F.col("seq") * 2 + F.col("o")).alias("at"))
 
     # Clamping at zero: running sum minus its running minimum below zero.
-    so_far = Window.partitionBy("id").orderBy("seq", "o").rowsBetween(Window.unboundedPreceding, 0)
-    summed = ends.withColumn("sum", F.sum("op").over(so_far))
-    lowest = F.least(F.lit(0), F.min("sum").over(so_far))
-    clamped = summed.withColumn("new", F.col("sum") - lowest)
-    old = F.coalesce(F.lag("new").over(Window.partitionBy("id").orderBy("seq", "o")), F.lit(0))
-    moved = clamped.withColumn("old", old).filter("new != old")
-    gains = F.when(F.col("new") > 0, F.struct(F.col("new").alias("degree"), F.lit(1).alias("change"), (F.col("seq") + F.col("o") * 2).alias("seq")))
-    losses = F.when(F.col("old") > 0, F.struct(F.col("old").alias("degree"), F.lit(-1).alias("change"), (F.col("seq") + F.col("o") * 2 + 1).alias("seq")))
+    summed = running(ends, "at", F.col("op"), name="sum", by=("id",))
+    lowest = running(summed, "at", F.col("sum"), "min", "low", before="low_before", by=("id",))
+    zero = F.lit(0)
+    new = F.col("sum") - F.least(zero, F.col("low"))
+    old = F.col("sum") - F.col("op") - F.least(zero, F.coalesce("low_before", zero))
+    moved = lowest.select("at", new.alias("new"), old.alias("old")).filter("new != old")
+    gains = F.when(F.col("new") > 0, F.struct(F.col("new").alias("degree"), F.lit(1).alias("change"), (F.col("at") * 2).alias("seq")))
+    losses = F.when(F.col("old") > 0, F.struct(F.col("old").alias("degree"), F.lit(-1).alias("change"), (F.col("at") * 2 + 1).alias("seq")))
     return moved.select(F.explode(F.array_compact(F.array(gains, losses))).alias("e")).select("e.*")
 
 
 def degree_distribution_trace(edges: DataFrame) -> DataFrame:
     """(degree, vertices, seq): the number of vertices of a degree each time it changes."""
-    so_far = Window.partitionBy("degree").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return degree_changes(edges).select("degree", F.sum("change").over(so_far).alias("vertices"), "seq")
+    changes = materialize(degree_changes(edges))
+    return running(changes, "seq", F.col("change"), name="vertices", by=("degree",)).select("degree", "vertices", "seq")
 
 
 # --- order-dependent algorithms --------------------------------------------------------------------
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """All rows in one partition by ``seq``, for folds whose every step needs all before it: a task reads them batch by batch and holds only its state."""
+    return rows.repartition(1).sortWithinPartitions("seq")
+
+
 def spanner(stream: EdgeStream, k: int = 3) -> DataFrame:
     """(src, dst): greedy k-spanner in arrival order; an edge stays if its ends were more than k steps apart.
 
     Each decision needs all before it, so one task does the fold. Edges that repeat, which never stay, go first.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph, kept = AdjacencyGraph(), []
-        for a, b in pdf.sort_values("seq")[["src", "dst"]].itertuples(index=False, name=None):
-            if not graph.within(a, b, k):
-                graph.add_edge(a, b)
-                kept.append((a, b))
-        return pd.DataFrame(kept, columns=["src", "dst"]).astype("int64")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = AdjacencyGraph()
+        for frame in frames:
+            kept = []
+            for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
+                if not graph.within(a, b, k):
+                    graph.add_edge(a, b)
+                    kept.append((a, b))
+            yield pd.DataFrame(kept, columns=["src", "dst"]).astype("int64")
 
     pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
     first = stream.edges.filter("src != dst").groupBy(*pair).agg(F.min(F.struct("seq", "src", "dst")).alias("e")).select("e.*")
-    return first.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: fold(pdf), "src long, dst long")
+    return _in_order(first).mapInPandas(fold, "src long, dst long")
 
 
 def matching_events(stream: EdgeStream) -> DataFrame:
@@ -192,23 +184,25 @@ def matching_events(stream: EdgeStream) -> DataFrame:
     A matching has one edge a vertex, so collisions are two lookups; the fold is sequential.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_end: dict = {}
-        out = []
-        for a, b, w in pdf.sort_values("seq")[["src", "dst", "value"]].itertuples(index=False, name=None):
-            against = list(dict.fromkeys(by_end[v] for v in (a, b) if v in by_end))
-            if w > 2 * sum(e[2] for e in against):
-                for e in against:
-                    by_end.pop(e[0], None)
-                    by_end.pop(e[1], None)
-                    out.append(("REMOVE", *e))
-                by_end[a] = by_end[b] = (a, b, w)
-                out.append(("ADD", a, b, w))
-        events = pd.DataFrame(out, columns=["event", "src", "dst", "value"])
-        return events.assign(at=range(len(events)))[["at", "event", "src", "dst", "value"]]
-
-    rows = stream.edges.select("src", "dst", "value", "seq").groupBy(F.lit(0).alias("all"))
-    return rows.applyInPandas(lambda pdf: fold(pdf), "at long, event string, src long, dst long, value long")
+        at = 0
+        for frame in frames:
+            out = []
+            for a, b, w in zip(frame["src"].tolist(), frame["dst"].tolist(), frame["value"].tolist(), strict=True):
+                against = list(dict.fromkeys(by_end[v] for v in (a, b) if v in by_end))
+                if w > 2 * sum(e[2] for e in against):
+                    for e in against:
+                        by_end.pop(e[0], None)
+                        by_end.pop(e[1], None)
+                        out.append(("REMOVE", *e))
+                    by_end[a] = by_end[b] = (a, b, w)
+                    out.append(("ADD", a, b, w))
+            events = pd.DataFrame(out, columns=["event", "src", "dst", "value"])
+            yield events.assign(at=range(at, at + len(events)))[["at", "event", "src", "dst", "value"]]
+            at += len(events)
+
+    return _in_order(stream.edges.select("src", "dst", "value", "seq")).mapInPandas(fold, "at long, event string, src long, dst long, value long")
 
 
 def weighted_matching(stream: EdgeStream) -> DataFrame:
@@ -232,8 +226,6 @@ def _estimate(stream: EdgeStream, vertices: int | None, samples: int, seed: int,
     The third vertex is drawn by its rank among the graph's ids. ``vertices`` beyond the graph's own
     number count as vertices without edges; by default there are none.
     """
-    from edgewise.functions.running import running
-
     spark = stream.context
     ranked = materialize(running(stream.edges.select("src", "dst", "seq"), "seq", F.lit(1), name="place"))
     m = ranked.count()

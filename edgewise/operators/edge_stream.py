@@ -111,8 +111,7 @@ class EdgeStream:
         ends = self._ends(sources, targets)
         if not trace:
             return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        so_far = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        return ends.select("id", F.count(F.lit(1)).over(so_far).alias("degree"))
+        return running(ends.select("id", "seq"), "seq", F.lit(1), name="degree", by=("id",)).select("id", "degree")
 
     def degrees(self, trace: bool = False) -> DataFrame:
         """(id, degree); a loop counts twice, repeats count. As a trace the running degree at each event."""

@@ -34,21 +34,28 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    """Queries that start inside leave no shuffle files."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Queries that are planned and run inside have these settings of the session."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> contextlib.AbstractContextManager[None]:
+    """Python workers get at most so many rows at a time, so that long texts do not add up in them."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` as a compressed table in the shared checkpoint folder; smaller than ``materialize`` for wide or text rows."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    with _cleaned(spark):
+    with settings(spark, {CLEANUP: "true"}):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
