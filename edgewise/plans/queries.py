@@ -139,7 +139,8 @@ def neighborhood(spark, sf_dir):
 
 @query
 def neighborhood_trace(spark, sf_dir):
-    return events(spark, sf_dir).build_neighborhood(directed=True, trace=True).select("src", "dst", F.size("neighbors").cast("long").alias("n"))
+    trace = events(spark, sf_dir).build_neighborhood(directed=True, trace=True)
+    return trace.select("src", "dst", F.concat_ws(",", F.col("neighbors").cast("array<string>")).alias("neighbors"))
 
 
 # --- aggregation
@@ -211,6 +212,11 @@ def triangle_trace(spark, sf_dir):
     return A.triangle_trace(events(spark, sf_dir)).filter("id = -1").select("seq", "triangles")
 
 
+@query
+def triangle_trace_local(spark, sf_dir):
+    return A.triangle_trace(events(spark, sf_dir)).filter("id >= 0")
+
+
 @query
 def degree_distribution(spark, sf_dir):
     return A.degree_distribution(S.turnstile_graph(spark, sf_dir))
@@ -241,7 +247,7 @@ def connected_components_iterative(spark, sf_dir):
 
 @query
 def windowed_components(spark, sf_dir):
-    return A.windowed_components(events(spark, sf_dir).filter_edges(lambda s, d, v: v > 9000), "1 day")
+    return A.windowed_components(events(spark, sf_dir), "1 day")
 
 
 @query

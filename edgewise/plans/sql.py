@@ -11,16 +11,24 @@ ends AS (SELECT src AS id, seq * 2 AS seq FROM g UNION ALL SELECT dst, seq * 2 +
 canon AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g WHERE src <> dst),
 turn AS (SELECT src, dst, seq, CASE WHEN row_number() OVER (PARTITION BY src, dst ORDER BY seq) % 2 = 1 THEN 1 ELSE -1 END AS op FROM g)
 """
-PARTS = """WITH RECURSIVE g AS (
-  SELECT DISTINCT l_orderkey AS src, l_partkey + 10000000 AS dst FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'),
-u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
-reach(id, low) AS (SELECT src, src FROM u UNION SELECT u.dst, r.low FROM reach r JOIN u ON u.src = r.id WHERE r.low < u.dst),
-component AS (SELECT id, min(low) AS component FROM reach GROUP BY id)
+#: Labels sink to the smallest vertex that reaches them; the table holds one row a vertex.
+REACH = """
+component(id, component) USING KEY (id) AS (
+  SELECT src, src FROM (SELECT DISTINCT src FROM u)
+  UNION SELECT u.dst, min(c.component) FROM component c JOIN u ON u.src = c.id JOIN recurring.component k ON k.id = u.dst WHERE c.component < k.component GROUP BY u.dst)
 """
+PARTS = """WITH RECURSIVE g AS (SELECT DISTINCT l_orderkey AS src, l_partkey + 10000000 AS dst FROM lineitem),
+u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),""" + REACH
 COMPONENTS = PARTS + "SELECT id, component FROM component"
 SIDES = PARTS + """,
 walk(id, sign) AS (SELECT component, TRUE FROM component UNION SELECT u.dst, NOT w.sign FROM walk w JOIN u ON u.src = w.id)
 SELECT c.id, c.component, w.sign FROM component c JOIN walk w USING (id)"""
+#: The double cover of suppliers and parts: a vertex whose two sides are in one component lies on an odd closed walk.
+DENSE = """WITH RECURSIVE g AS (SELECT DISTINCT l_suppkey * 2 AS s, (l_partkey + 1000000) * 2 AS d FROM lineitem),
+ties AS (SELECT s AS src, d + 1 AS dst FROM g UNION ALL SELECT s + 1, d FROM g),
+u AS (SELECT src, dst FROM ties UNION SELECT dst, src FROM ties),""" + REACH + """
+SELECT count(*) FILTER (plus = minus) = 0 AS bipartite, count(*) FILTER (plus = minus) AS conflicts FROM (
+  SELECT id // 2 AS v, min(component) FILTER (id % 2 = 0) AS plus, min(component) FILTER (id % 2 = 1) AS minus FROM component GROUP BY id // 2)"""
 COVER = """,
 pairs AS (SELECT DISTINCT src, dst FROM {edges}),
 both_ways AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs),
@@ -49,8 +57,7 @@ SQL = {
     "out_degrees": G + "SELECT src AS id, count(*) AS degree FROM g GROUP BY src",
     "out_degrees_trace": G + "SELECT src AS id, count(*) OVER (PARTITION BY src ORDER BY seq) AS degree FROM g",
     "neighborhood": G + "SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS neighbors FROM (SELECT DISTINCT src, dst FROM u) GROUP BY src",
-    "neighborhood_trace": G + """SELECT src, dst, sum(fresh) OVER (PARTITION BY src ORDER BY seq)::BIGINT AS n FROM (
-        SELECT src, dst, seq, CASE WHEN row_number() OVER (PARTITION BY src, dst ORDER BY seq) = 1 THEN 1 ELSE 0 END AS fresh FROM g)""",
+    "neighborhood_trace": G + """SELECT src, dst, array_to_string(list_sort(list_distinct(array_agg(dst) OVER (PARTITION BY src ORDER BY seq))), ',') AS neighbors FROM g""",
     "aggregate_vertices": G + "SELECT id, sum(value)::BIGINT AS value FROM (SELECT src AS id, value FROM g UNION ALL SELECT dst, -value FROM g) GROUP BY id",
     "global_aggregate_updates": G + """SELECT value FROM (SELECT value, lag(value) OVER (ORDER BY seq) AS was FROM (
         SELECT max(value) OVER (ORDER BY seq) AS value, seq FROM g)) WHERE value IS DISTINCT FROM was""",
@@ -66,6 +73,10 @@ SQL = {
         t AS (SELECT greatest(x.seq, y.seq, z.seq) AS seq FROM f x JOIN f y ON y.a = x.b JOIN f z ON z.a = x.a AND z.b = y.b),
         c AS (SELECT seq, count(*) AS n FROM t GROUP BY seq)
         SELECT seq, sum(n) OVER (ORDER BY seq)::BIGINT AS triangles FROM c""",
+    "triangle_trace_local": G + """, f AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(seq) AS seq FROM g WHERE src <> dst GROUP BY 1, 2),
+        t AS (SELECT x.a AS p, x.b AS q, y.b AS r, greatest(x.seq, y.seq, z.seq) AS seq FROM f x JOIN f y ON y.a = x.b JOIN f z ON z.a = x.a AND z.b = y.b),
+        c AS (SELECT id, seq, count(*) AS n FROM (SELECT p AS id, seq FROM t UNION ALL SELECT q, seq FROM t UNION ALL SELECT r, seq FROM t) GROUP BY id, seq)
+        SELECT id, sum(n) OVER (PARTITION BY id ORDER BY seq)::BIGINT AS triangles, seq FROM c""",
     "degree_distribution": G + """, d AS (SELECT id, sum(op) AS degree FROM (SELECT src AS id, op FROM turn UNION ALL SELECT dst, op FROM turn) GROUP BY id)
         SELECT degree::BIGINT AS degree, count(*) AS vertices FROM d WHERE degree > 0 GROUP BY 1""",
     "degree_distribution_trace": G + """, e AS (SELECT src AS id, op, seq * 2 AS seq FROM turn UNION ALL SELECT dst, op, seq * 2 + 1 FROM turn),
@@ -75,10 +86,12 @@ SQL = {
     "connected_components": COMPONENTS,
     "connected_components_tree": COMPONENTS,
     "connected_components_iterative": COMPONENTS,
-    "windowed_components": G + """, p AS (SELECT DISTINCT window_end AS w, src, dst FROM g WHERE value > 9000),
-        b AS (SELECT w, src, dst FROM p UNION SELECT w, dst, src FROM p),
-        reach(w, id, low) AS (SELECT w, src, src FROM b UNION SELECT r.w, b.dst, r.low FROM reach r JOIN b ON b.w = r.w AND b.src = r.id)
-        SELECT w AS window_end, id, min(low) AS component FROM reach GROUP BY w, id""",
+    "windowed_components": G + """, b AS (SELECT window_end AS w, src, dst FROM g UNION SELECT window_end, dst, src FROM g),
+        component(w, id, component) USING KEY (w, id) AS (
+          SELECT w, src, src FROM (SELECT DISTINCT w, src FROM b)
+          UNION SELECT c.w, b.dst, min(c.component) FROM component c JOIN b ON b.w = c.w AND b.src = c.id JOIN recurring.component k ON k.w = c.w AND k.id = b.dst
+          WHERE c.component < k.component GROUP BY c.w, b.dst)
+        SELECT w AS window_end, id, component FROM component""",
     "cumulative_components": G + """, t AS (SELECT src, dst, (epoch_ms(ts) // 864000000 + 1) * 864000000 - 1 AS e FROM g),
         p AS (SELECT DISTINCT w.e AS w, src, dst FROM (SELECT DISTINCT e FROM t) w JOIN t ON t.e <= w.e),
         b AS (SELECT w, src, dst FROM p UNION SELECT w, dst, src FROM p),
@@ -87,6 +100,7 @@ SQL = {
         SELECT w AS window_end, count(DISTINCT component) AS components, count(*) AS vertices FROM c GROUP BY w""",
     "bipartite_check": G + COVER.format(edges="g"),
     "bipartite_sides": SIDES,
+    "bipartite_dense": DENSE,
     "bipartite_summary_sides": SIDES,
 }
 for way, source, key in (("out", "g", "src"), ("in", "g", "dst"), ("all", "u", "src")):
