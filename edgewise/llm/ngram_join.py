@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.operators.components import connected_components
-from edgewise.session import materialize
+from edgewise.session import materialize, small_batches
 
 MINIMA = 120
 DEEPEST = 10
@@ -42,7 +42,7 @@ TARGET_RECALL = 0.9999
 NODE_BLOCK = 512
 GROUP_BLOCK = 256
 #: Words whose hashes a worker keeps before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def forest_shape(threshold: float, target: float = TARGET_RECALL, minima: int = MINIMA) -> tuple[int, int]:
@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     """
 
     depth, trees = forest_shape(threshold)
-    signed = materialize(signatures(docs, depth, trees, id_col, text_col, size))
+    with small_batches(docs.sparkSession):
+        signed = materialize(signatures(docs, depth, trees, id_col, text_col, size))
     classes = signed.filter("grams > 0").groupBy("digest").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_md5")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")
     )
@@ -320,7 +321,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
             yield pd.concat(out)
 
     ordered = dealt.repartition("component", "block_a", "block_b").sortWithinPartitions("component", "block_a", "block_b")
-    found = materialize(ordered.mapInPandas(run, "rep long, links long, root long, parted boolean"))
+    with small_batches(docs.sparkSession):
+        found = materialize(ordered.mapInPandas(run, "rep long, links long, root long, parted boolean"))
     # A group of one block has its classes already; those of several blocks are joined over all their parts.
     parted = connected_components(found.filter("parted").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     whole = found.filter("NOT parted").select("rep", F.col("root").alias("class"))
