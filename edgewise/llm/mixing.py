@@ -8,8 +8,8 @@ reruns agree.
 
 A source may hold a third of all rows, so the prefix sum never gathers a source in one task. The
 unit interval of a monotone transform of the key is cut into slices (their number follows the
-source's row count); slices are summed first, the sums of slices are accumulated, and the running
-sum inside a slice starts from there.
+source's row count); slices are summed first, the sums of slices are accumulated by ranges of
+slices in the same way, and the running sum inside a slice starts from there.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of its own, after
 all others; repeated ids and ties in the key are ordered by id and then by text hash; a source of
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewise.functions.running import running
 from edgewise.session import materialize
 
 #: Rows that a slice of a source should hold.
@@ -33,9 +34,9 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """Between 0.25 and 1: the share of ASCII letters among the characters."""
+    """Between 0.25 and 1: the share of letters, of any script, among the characters."""
     n = F.length(text)
-    letters = n - F.length(F.translate(text, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    letters = n - F.length(F.regexp_replace(text, r"\p{L}++", ""))
     return F.when(n > 0, F.lit(0.25) + F.lit(0.75) * letters / n).otherwise(F.lit(0.25))
 
 
@@ -114,8 +115,7 @@ def mix(
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("full"),
     )
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0))).select(F.col("source").alias("of_source"), F.col("slice").alias("of_slice"), "slice_start")
+    sums = running(sums, "slice", F.col("slice_size"), name="slice_end", before="slice_start", by=("source",)).select(F.col("source").alias("of_source"), F.col("slice").alias("of_slice"), "slice_start")
     within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "tie", *row).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("slice") == F.col("of_slice"))).withColumn(
@@ -148,8 +148,8 @@ OP1_SQL = """
 WITH base AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         CASE WHEN length(text) > 0 THEN 0.25::DOUBLE + 0.75::DOUBLE * (length(text) - length(translate(text,
-           'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) / length(text) ELSE 0.25::DOUBLE END AS q,
+         CASE WHEN length(text) > 0 THEN 0.25::DOUBLE + 0.75::DOUBLE * (length(text) - length(regexp_replace(text, '\\p{L}+', '', 'g')))
+           / length(text) ELSE 0.25::DOUBLE END AS q,
          (('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),

@@ -214,6 +214,18 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_quality_of_scripts(spark):
+    texts = ["abc", "éüñ", "漢字", "1234", "", None, "ab12"]
+    got = [r.q for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.quality_weight(F.col("t")).alias("q")).collect()]
+    assert got == [1, 1, 1, 0.25, 0.25, 0.25, 0.625]
+
+
+def test_mixing_of_one_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x", "a"), (2, "x", "a"), (3, "y z", "b")], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.size) for r in mixing.mix(docs.withColumns({"key": F.lit(1), "slice": F.lit(2), "epochs": F.lit(3)})).collect()}
+    assert got == {(1, 300_000), (2, 1), (3, 2)}
+
+
 def test_mixing_keeps_rows_without_ids(spark):
     rows = [(None, f"w{i} x", "a") for i in range(50)] + [(i, "y z", "a") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
