@@ -6,8 +6,9 @@ which the trace forms (one output row for each event) need; final forms do not u
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +43,16 @@ class EdgeStream:
 
     # --- transformations ---------------------------------------------------------------------------
 
-    def map_edges(self, f: EdgeExpression) -> EdgeStream:
-        """A new value, of any type, from the whole edge."""
+    def map_edges(self, f: EdgeExpression, returns: str | None = None) -> EdgeStream:
+        """A new value, of any type, from the whole edge: by an expression, or by a Python function of (src, dst, value) if its type is given."""
+        if returns is not None:
+            return EdgeStream(self._df.withColumn("value", F.udf(f, returns, useArrow=True)("src", "dst", self._value())))
         return EdgeStream(self._df.withColumn("value", f(F.col("src"), F.col("dst"), self._value())))
 
-    def filter_edges(self, f: EdgeExpression) -> EdgeStream:
+    def filter_edges(self, f: EdgeExpression, python: bool = False) -> EdgeStream:
+        """Edges for which an expression is true, or with ``python`` a Python function of (src, dst, value)."""
+        if python:
+            return EdgeStream(self._df.filter(F.udf(f, "boolean", useArrow=True)("src", "dst", self._value())))
         return EdgeStream(self._df.filter(f(F.col("src"), F.col("dst"), self._value())))
 
     def filter_vertices(self, f: Callable[[Column], Column]) -> EdgeStream:
@@ -146,6 +152,45 @@ class EdgeStream:
         so_far = Window.partitionBy("id").orderBy("seq", "_o").rowsBetween(Window.unboundedPreceding, 0)
         return rows.select("id", aggregate("_value").over(so_far).alias("value"))
 
+    def _mapped(self, edge_mapper: Callable[[Column, Column, Column], Column]) -> DataFrame:
+        """(id, value, seq) of the vertices (an array of structs id, value) that ``edge_mapper`` makes of each edge, in order."""
+        mapped = self._df.select("seq", F.posexplode(edge_mapper(F.col("src"), F.col("dst"), self._value())).alias("_o", "_m"))
+        return mapped.select(F.col("_m.id").alias("id"), F.col("_m.value").alias("value"), (F.col("seq") * 16 + F.col("_o")).alias("seq"))
+
+    def fold_vertices(
+        self, edge_mapper: Callable[[Column, Column, Column], Column], initial: Callable[[], object], step: Callable[[object, object, object], tuple], schema: str, changes_only: bool = False, whole: bool = False
+    ) -> DataFrame:
+        """Rows of ``schema``: explode each edge to at most 16 vertices, and pass them in order to a function with state.
+
+        ``step`` takes (state, id, value) and gives (state, output tuple); the state is any Python object, one a vertex,
+        or one for the whole stream if ``whole``, which one task then reads batch by batch. ``changes_only`` leaves out
+        an output equal to the one before it.
+        """
+        if self._df.isStreaming:
+            from edgewise.streaming.processors import fold_vertices
+
+            return fold_vertices(self, edge_mapper, initial, step, schema, changes_only, whole)
+        names = [part.strip().split()[0] for part in schema.split(",")]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            key, state, last = None, None, None
+            for frame in frames:
+                out = []
+                values = frame["value"].astype(object).where(frame["value"].notna(), None)
+                for v, value in zip(frame["id"].tolist(), values.tolist(), strict=True):
+                    if state is None or (not whole and v != key):
+                        key, state, last = v, (initial(),), None
+                    held, row = step(state[0], v, value)
+                    state = (held,)
+                    if not (changes_only and row == last):
+                        out.append(row)
+                    last = row
+                yield pd.DataFrame(out, columns=names, dtype=object)
+
+        rows = self._mapped(edge_mapper)
+        placed = rows.repartition(1).sortWithinPartitions("seq") if whole else rows.repartition("id").sortWithinPartitions("id", "seq")
+        return placed.mapInPandas(run, schema)
+
     def global_aggregate(self, value: EdgeExpression, kind: str = "sum", updates: bool = False, trace: bool = True) -> DataFrame:
         """(value): the running sum, max or min of a value of each edge over the whole stream.
 

@@ -1,118 +1,140 @@
 """Summary aggregation: partial summaries inside tasks, merged per window or over the whole stream.
 
-A summary is a plain Python object made by ``initial``; ``update`` adds an edge, ``merge`` takes in another
-one, ``rows`` turns it into output tuples of ``schema``. Partial summaries are compressed to rows
-again (``edges_of``), so what is shuffled is the summary, not the edges.
+A summary is a plain Python object of any kind made by ``initial``: ``update`` adds an edge, ``merge`` takes
+in another one, ``rows`` turns it into output tuples of ``schema``. What moves between tasks are the partial
+summaries themselves, serialized, so a summary need not be a graph: counts and sketches are as good.
+The same summary runs on a batch and on a stream.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.operators.snapshot import window_end
 from edgewise.operators.summaries.disjoint_set import DisjointSet, SignedComponents
+from edgewise.session import materialize
+
+PARTIAL = "w long, part int, state binary"
+
+
+def as_frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Tuples as a frame that keeps Nones beside integers."""
+    return pd.DataFrame(rows, columns=[part.strip().split()[0] for part in schema.split(",")], dtype=object)
 
 
 @dataclass(frozen=True)
 class Summary:
-    """``merge_window``: tumbling windows of event time; None treats the whole input as one window.
+    """``update`` is called as (state, source, target, value); edges with a null end are ignored.
 
-    ``transient`` gives a result for each window alone; else each window's result holds all before it.
-    ``degree`` > 1 merges partial summaries in a tree of that many at a time; its levels are counted by the
-    partitions of the input. Results do not depend on it.
+    ``merge_window``: tumbling windows of event time; None treats the whole input as one window, and on a stream
+    each micro-batch. ``transient`` gives a result for each window alone; else each window's result holds all before it.
+    ``degree`` > 1 merges partial summaries in a tree of that many at a time. Results do not depend on it.
     """
 
     initial: Callable[[], object]
-    update: Callable[[object, object, object, object], None]
-    merge: Callable[[object, object], None]
+    update: Callable[[object, object, object, object], object]
+    merge: Callable[[object, object], object]
     rows: Callable[[object], list[tuple]]
     schema: str
-    #: A summary as edges (src, dst) that rebuild it by ``update``; this is what moves between tasks.
-    edges_of: Callable[[object], list[tuple]]
     merge_window: str | None = None
     transient: bool = False
     degree: int = 0
 
+    def fold(self, state: object, sources: list, targets: list, values: list) -> None:
+        for a, b, v in zip(sources, targets, values, strict=True):
+            self.update(state, a, b, v)
+
+    def edges_of(self, stream) -> DataFrame:
+        """(w, src, dst, value) of the edges with both ends; null values stay None in Python."""
+        w = window_end(F.window("ts", self.merge_window)) if self.merge_window else F.lit(0).cast("long")
+        value = F.col("value") if "value" in stream.edges.columns else F.lit(None).cast("long")
+        times = ["ts"] if self.merge_window and stream.edges.isStreaming else []
+        return stream.edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(w.alias("w"), "src", "dst", value.alias("value"), *times)
+
     def _partial(self, edges: DataFrame) -> DataFrame:
-        """(w, part, src, dst): per window and partition, the edges that stand for its partial summary."""
+        """The partial summary of each window and partition."""
 
         def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict = {}
-            part = None
+            part = 0
             for frame in frames:
-                for w, p, a, b in frame[["w", "part", "src", "dst"]].itertuples(index=False, name=None):
-                    part = p
+                part = int(frame["part"].iat[0]) if len(frame) else part
+                frame["value"] = frame["value"].astype(object).where(frame["value"].notna(), None)
+                for w, own in frame.groupby("w", sort=False):
                     if w not in held:
                         held[w] = self.initial()
-                    self.update(held[w], a, b, None)
-            for w, state in held.items():
-                yield pd.DataFrame([(w, part, a, b) for a, b in self.edges_of(state)], columns=["w", "part", "src", "dst"])
+                    self.fold(held[w], own["src"].tolist(), own["dst"].tolist(), own["value"].tolist())
+            yield as_frame([(w, part, cloudpickle.dumps(state)) for w, state in held.items()], PARTIAL)
+
+        return edges.withColumn("part", F.spark_partition_id()).mapInPandas(fold, PARTIAL)
 
-        return edges.mapInPandas(fold, "w long, part int, src long, dst long")
+    def _combined(self, partial: DataFrame) -> DataFrame:
+        """Partial summaries merged by window and part, one at a time."""
+
+        def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            key, state = None, None
+            for frame in frames:
+                for w, part, blob in zip(frame["w"].tolist(), frame["part"].tolist(), frame["state"], strict=True):
+                    if (w, part) != key:
+                        if key is not None:
+                            yield as_frame([(*key, cloudpickle.dumps(state))], PARTIAL)
+                        key, state = (w, part), self.initial()
+                    self.merge(state, pickle.loads(blob))
+            if key is not None:
+                yield as_frame([(*key, cloudpickle.dumps(state))], PARTIAL)
+
+        return partial.repartition("w", "part").sortWithinPartitions("w", "part").mapInPandas(combine, PARTIAL)
 
     def run(self, stream) -> DataFrame:
         """Rows of ``schema`` with window_end (null without windows)."""
-        df = stream.edges
-        if df.isStreaming:
-            raise ValueError("run summaries on a stream with edgewise.streaming.processors.SummaryMerger")
-        w = window_end(F.window("ts", self.merge_window)) if self.merge_window else F.lit(0).cast("long")
-        partial = self._partial(df.select(w.alias("w"), F.spark_partition_id().alias("part"), "src", "dst"))
+        if stream.edges.isStreaming:
+            from edgewise.streaming.processors import run_summary
+
+            return run_summary(self, stream)
+        partial = self._partial(self.edges_of(stream))
         if self.degree > 1:
-            width = df.rdd.getNumPartitions()
-            while width > 2:
-                partial = self._partial(partial.withColumn("part", F.floor(F.col("part") / self.degree).cast("int")).repartition("w", "part"))
+            partial = materialize(partial)
+            width = (partial.agg(F.max("part")).first()[0] or 0) + 1
+            while width > self.degree:
+                partial = self._combined(partial.withColumn("part", F.floor(F.col("part") / self.degree).cast("int")))
                 width = -(-width // self.degree)
-        names = [part.strip().split()[0] for part in self.schema.split(",")]
-
-        def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, state = [], self.initial()
-            for end, part in pdf.sort_values("w").groupby("w", sort=True):
-                if self.transient:
-                    state = self.initial()
-                for a, b in zip(part["src"].tolist(), part["dst"].tolist(), strict=True):
-                    self.update(state, a, b, None)
-                out.append(pd.DataFrame(self.rows(state), columns=names).assign(window_end=end))
-            return pd.concat(out) if out else pd.DataFrame(columns=[*names, "window_end"])
+
+        def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, state = None, self.initial()
+            result = lambda: as_frame([(*r, at) for r in self.rows(state)], f"{self.schema}, window_end long")
+            for frame in frames:
+                for w, blob in zip(frame["w"].tolist(), frame["state"], strict=True):
+                    if at is not None and w != at:
+                        yield result()
+                        if self.transient:
+                            state = self.initial()
+                    at = w
+                    self.merge(state, pickle.loads(blob))
+            if at is not None:
+                yield result()
 
         # Windows on their own are merged apart; a running result needs them in order, one after the other.
-        key = F.col("w") if self.transient else F.lit(0).cast("long")
-        merged = partial.withColumn("_key", key).groupBy("_key").applyInPandas(lambda pdf: finish(pdf), f"{self.schema}, window_end long")
+        placed = partial.repartition("w") if self.transient else partial.repartition(1)
+        merged = placed.sortWithinPartitions("w", "part").mapInPandas(finish, f"{self.schema}, window_end long")
         return merged if self.merge_window else merged.withColumn("window_end", F.lit(None).cast("long"))
 
 
-def _forest(state: DisjointSet) -> list[tuple]:
-    """At most one edge a vertex; a lone vertex is a loop."""
-    return [(x, state.find(x)) for x in list(state.parent)]
-
-
 def components_summary(merge_window: str | None = None, transient: bool = False, degree: int = 0) -> Summary:
     """(id, component): weakly connected components; a component is named by its smallest vertex."""
     return Summary(
         DisjointSet, lambda s, a, b, v: s.union(a, b), lambda s, o: s.merge(o),
-        lambda s: [(x, low) for low, members in s.groups().items() for x in members], "id long, component long", _forest,
+        lambda s: [(x, low) for low, members in s.groups().items() for x in members], "id long, component long",
         merge_window, transient, degree,
     )
 
 
-def _signed_edges(state: SignedComponents) -> list[tuple]:
-    """A spanning forest of real edges cannot be read off the sides, so sides are kept as edges of a two-colouring."""
-    out = []
-    for members in state.sides.groups().values():
-        low = min(members)
-        other = next((m for m in members if m[1] != low[1]), None)
-        same = [m for m in members if m[1] == low[1]]
-        if state.failed and other is not None and (low[0], not low[1]) in members:
-            out.append((low[0], low[0]))
-        if other is not None:
-            out += [(low[0], m[0]) for m in members if m[1] != low[1]] + [(m[0], other[0]) for m in same]
-    return out
-
-
 def bipartite_summary(merge_window: str | None = None, transient: bool = False, degree: int = 0) -> Summary:
     """(bipartite, component, id, sign): the two-colouring, or one row (false, null, null, null)."""
 
@@ -123,5 +145,29 @@ def bipartite_summary(merge_window: str | None = None, transient: bool = False,
 
     return Summary(
         SignedComponents, lambda s, a, b, v: s.add(a, b), lambda s, o: s.merge(o), rows,
-        "bipartite boolean, component long, id long, sign boolean", _signed_edges, merge_window, transient, degree,
+        "bipartite boolean, component long, id long, sign boolean", merge_window, transient, degree,
+    )
+
+
+class VertexTotals:
+    """Number and sum of the values of the edges that leave each vertex, and the largest value."""
+
+    def __init__(self) -> None:
+        self.by_vertex: dict = {}
+
+    def add(self, vertex, n: int, total, most) -> None:
+        had = self.by_vertex.get(vertex)
+        self.by_vertex[vertex] = (n, total, most) if had is None else (had[0] + n, had[1] + total, max(had[2], most))
+
+    def merge(self, other: VertexTotals) -> None:
+        for vertex, own in other.by_vertex.items():
+            self.add(vertex, *own)
+
+
+def totals_summary(merge_window: str | None = None, transient: bool = False, degree: int = 0) -> Summary:
+    """(id, edges, total, most) over the values of outgoing edges; edges without a value are ignored."""
+    return Summary(
+        VertexTotals, lambda s, a, b, v: v is not None and s.add(a, 1, v, v), lambda s, o: s.merge(o),
+        lambda s: [(x, *own) for x, own in s.by_vertex.items()], "id long, edges long, total long, most long",
+        merge_window, transient, degree,
     )

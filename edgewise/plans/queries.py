@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.operators import algorithms as A
 from edgewise.operators.edge_stream import EdgeStream
-from edgewise.operators.summary import bipartite_summary, components_summary
+from edgewise.operators.summary import bipartite_summary, components_summary, totals_summary
+from edgewise.session import shared_dir
 from edgewise.sources import edges as S
 
 QUERIES: dict = {}
@@ -157,6 +160,99 @@ def global_aggregate_updates(spark, sf_dir):
     return events(spark, sf_dir).global_aggregate(lambda s, d, v: v, "max", updates=True)
 
 
+def _counted(state, vertex, value):
+    """Number of values of a vertex so far and the largest of them."""
+    n, most = (state or (0, None))[0] + 1, value if state is None or value > state[1] else state[1]
+    return (n, most), (vertex, n, most)
+
+
+@query
+def fold_vertices(spark, sf_dir):
+    mapper = lambda s, d, v: F.array(F.struct(s.alias("id"), v.alias("value")), F.struct(d.alias("id"), v.alias("value")))
+    return events(spark, sf_dir).fold_vertices(mapper, lambda: None, _counted, "id long, n long, most long")
+
+
+@query
+def global_fold_updates(spark, sf_dir):
+    """The number of vertices that have been seen, whenever it changes."""
+
+    def step(state, vertex, value):
+        state.add(vertex)
+        return state, (len(state),)
+
+    mapper = lambda s, d, v: F.array(F.struct(s.alias("id"), v.alias("value")), F.struct(d.alias("id"), v.alias("value")))
+    return events(spark, sf_dir).fold_vertices(mapper, set, step, "n long", changes_only=True, whole=True)
+
+
+@query
+def map_edges_python(spark, sf_dir):
+    return rows(events(spark, sf_dir).map_edges(lambda s, d, v: v * 2 + s - d, "long").filter_edges(lambda s, d, v: v % 3 == 0, python=True))
+
+
+# --- sources and sinks: edges go out as text and come back
+
+
+def _written(spark, df, sep="\t"):
+    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    S.write_text(df, path, sep)
+    return path
+
+
+@query
+def source_tab(spark, sf_dir):
+    path = _written(spark, events(spark, sf_dir).edges.select("src", "dst"))
+    return S.read_tab_separated(spark, path).select("src", "dst")
+
+
+@query
+def source_white_space(spark, sf_dir):
+    path = _written(spark, events(spark, sf_dir).edges.select("src", "dst"), " ")
+    return S.read_white_space(spark, path).select("src", "dst")
+
+
+@query
+def source_timestamped(spark, sf_dir):
+    path = _written(spark, events(spark, sf_dir).edges.select("src", "dst", F.unix_millis("ts").alias("ms")), " ")
+    return S.read_timestamped(spark, path).select("src", "dst", F.unix_millis("ts").alias("ms"))
+
+
+@query
+def source_event_list(spark, sf_dir):
+    sign = F.when(F.col("op") == 1, "+").otherwise("-").alias("sign")
+    path = _written(spark, S.turnstile_graph(spark, sf_dir).select("src", "dst", sign), " ")
+    return S.read_event_list(spark, path).select("src", "dst", "op")
+
+
+@query
+def source_commented(spark, sf_dir):
+    first = F.when(F.col("value") > 5000, "%").otherwise(F.col("src").cast("string")).alias("src")
+    path = _written(spark, events(spark, sf_dir).edges.select(first, "dst"), " ")
+    return S.read_commented(spark, path).select("src", "dst")
+
+
+@query
+def source_ratings(spark, sf_dir):
+    path = _written(spark, events(spark, sf_dir).edges.select("src", "dst", (F.col("value") % 50 / 10).alias("rating")))
+    return S.read_ratings(spark, path).select("src", "dst", "value")
+
+
+@query
+def sink_csv(spark, sf_dir):
+    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    S.write_csv(events(spark, sf_dir).edges.select("src", "dst", "value"), path)
+    return spark.read.schema("src long, dst long, value long").csv(path)
+
+
+@query
+def generated_ring(spark, sf_dir):
+    return S.generate(spark, "ring", 1000).select("src", "dst", "seq")
+
+
+@query
+def generated_windows(spark, sf_dir):
+    return S.generate(spark, "windows", 100).select("src", "dst", F.unix_millis("ts").alias("ms"), "seq")
+
+
 # --- windows
 
 
@@ -257,6 +353,22 @@ def cumulative_components(spark, sf_dir):
     )
 
 
+@query
+def summary_values(spark, sf_dir):
+    return events(spark, sf_dir).aggregate(totals_summary("10 days", degree=2))
+
+
+@query
+def summary_values_transient(spark, sf_dir):
+    return events(spark, sf_dir).aggregate(totals_summary("10 days", transient=True))
+
+
+@query
+def bipartite_windows(spark, sf_dir):
+    found = events(spark, sf_dir).aggregate(bipartite_summary("1 day", transient=True))
+    return found.groupBy("window_end").agg(F.first("bipartite").alias("bipartite"), F.count("id").alias("vertices"))
+
+
 @query
 def bipartite_check(spark, sf_dir):
     return A.bipartite_check(events(spark, sf_dir))

@@ -103,6 +103,36 @@ SQL = {
     "bipartite_dense": DENSE,
     "bipartite_summary_sides": SIDES,
 }
+BOTH = "SELECT src AS id, value, seq * 16 AS seq FROM g UNION ALL SELECT dst, value, seq * 16 + 1 FROM g"
+SQL |= {
+    "fold_vertices": G + f"""SELECT id, count(*) OVER w AS n, max(value) OVER w AS most FROM ({BOTH})
+        WINDOW w AS (PARTITION BY id ORDER BY seq)""",
+    "global_fold_updates": G + "SELECT row_number() OVER (ORDER BY min(seq)) AS n FROM ends GROUP BY id",
+    "map_edges_python": G + "SELECT src, dst, value, seq FROM (SELECT src, dst, value * 2 + src - dst AS value, seq FROM g) WHERE value % 3 = 0",
+    "source_tab": G + "SELECT src, dst FROM g",
+    "source_white_space": G + "SELECT src, dst FROM g",
+    "source_timestamped": G + "SELECT src, dst, epoch_us(ts) // 1000 AS ms FROM g",
+    "source_event_list": G + "SELECT src, dst, op FROM turn",
+    "source_commented": G + "SELECT src, dst FROM g WHERE value <= 5000",
+    "source_ratings": G + "SELECT src, dst + 1000000 AS dst, value % 50 AS value FROM g",
+    "sink_csv": G + "SELECT src, dst, value FROM g",
+    "generated_ring": "SELECT k AS src, (k + 2 * o) % 1000 AS dst, k * 2 + o - 1 AS seq FROM range(1000) r(k), (VALUES (1), (2)) v(o)",
+    "generated_windows": "SELECT k AS src, k + o AS dst, k * 100 AS ms, k * 2 + o - 1 AS seq FROM range(1, 101) r(k), (VALUES (1), (2)) v(o)",
+    "summary_values": G + """, e AS (SELECT *, (epoch_ms(ts) // 864000000 + 1) * 864000000 - 1 AS w FROM g)
+        SELECT id, edges, total, most, w AS window_end FROM (
+          SELECT e.src AS id, x.w AS w, count(*) AS edges, sum(e.value)::BIGINT AS total, max(e.value) AS most
+          FROM (SELECT DISTINCT w FROM e) x JOIN e ON e.w <= x.w GROUP BY e.src, x.w)""",
+    "summary_values_transient": G + """, e AS (SELECT *, (epoch_ms(ts) // 864000000 + 1) * 864000000 - 1 AS w FROM g)
+        SELECT src AS id, count(*) AS edges, sum(value)::BIGINT AS total, max(value) AS most, w AS window_end FROM e GROUP BY src, w""",
+    "bipartite_windows": G + """, b AS (SELECT window_end AS w, src * 2 AS src, dst * 2 + 1 AS dst FROM g UNION SELECT window_end, src * 2 + 1, dst * 2 FROM g),
+        u2 AS (SELECT w, src, dst FROM b UNION SELECT w, dst, src FROM b),
+        side(w, id, component) USING KEY (w, id) AS (
+          SELECT w, src, src FROM (SELECT DISTINCT w, src FROM u2)
+          UNION SELECT c.w, x.dst, min(c.component) FROM side c JOIN u2 x ON x.w = c.w AND x.src = c.id JOIN recurring.side k ON k.w = c.w AND k.id = x.dst
+          WHERE c.component < k.component GROUP BY c.w, x.dst),
+        v AS (SELECT w, id // 2 AS v, min(component) AS lo, max(component) AS hi FROM side GROUP BY w, id // 2)
+        SELECT w AS window_end, bool_and(lo <> hi) AS bipartite, CASE WHEN bool_and(lo <> hi) THEN count(*) ELSE 0 END AS vertices FROM v GROUP BY w""",
+}
 for way, source, key in (("out", "g", "src"), ("in", "g", "dst"), ("all", "u", "src")):
     near = "src" if way == "in" else "dst"
     SQL[f"slice_fold_{way}"] = G + f"SELECT {key} AS id, sum(value + {near})::BIGINT AS value, window_end FROM {source} GROUP BY {key}, window_end"

@@ -7,16 +7,17 @@ running summary has to; edges are thinned to partial summaries before they get t
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from edgewise.operators.edge_stream import EdgeStream
 from edgewise.operators.summaries.adjacency import AdjacencyGraph
-from edgewise.operators.summaries.disjoint_set import DisjointSet
+from edgewise.operators.summary import Summary, bipartite_summary, components_summary
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -107,37 +108,108 @@ class DegreeCount(StatefulProcessor):
         pass
 
 
-class SummaryMerger(StatefulProcessor):
-    """Cumulative union-find over (id, root) rows: after each micro-batch the whole summary, (id, component).
+def _rows_of(summary: Summary, state: object, end: int | None) -> Iterator[Row]:
+    names = [part.strip().split()[0] for part in summary.schema.split(",")]
+    for r in summary.rows(state):
+        yield Row(**dict(zip(names, r, strict=True)), window_end=end)
 
-    The state is one map from vertex to parent, parents always smaller, so a root is its component's name.
-    """
+
+class SummaryBatches(StatefulProcessor):
+    """The whole summary after each micro-batch, from the serialized partial summaries of its tasks."""
+
+    def __init__(self, summary: Summary):
+        self.summary = summary
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "state binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.state.exists() and not self.summary.transient
+        state = pickle.loads(self.state.get()[0]) if known else self.summary.initial()
+        for r in rows:
+            self.summary.merge(state, pickle.loads(r["state"]))
+        self.state.update((cloudpickle.dumps(state),))
+        yield from _rows_of(self.summary, state, None)
+
+    def close(self) -> None:
+        pass
+
+
+class SummaryWindows(StatefulProcessor):
+    """The summary of each window of event time once the watermark has passed it; with all before it unless it is transient."""
+
+    def __init__(self, summary: Summary):
+        self.summary = summary
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parent = handle.getMapState("parent", "id long", "parent long")
-
-    def _find(self, x: int) -> int:
-        path = []
-        while True:
-            p = self.parent.getValue((x,))[0] if self.parent.containsKey((x,)) else None
-            if p is None:
-                self.parent.updateValue((x,), (x,))
-                p = x
-            if p == x:
-                break
-            path.append(x)
-            x = p
-        for y in path[:-1]:
-            self.parent.updateValue((y,), (x,))
-        return x
+        self.handle = handle
+        self.open = handle.getMapState("open", "w long", "state binary")
+        self.total = handle.getValueState("total", "state binary")
 
     def handleInputRows(self, key, rows, timerValues):
+        fresh: dict = {}
         for r in rows:
-            a, b = self._find(r["src"]), self._find(r["dst"])
-            if a != b:
-                self.parent.updateValue((max(a, b),), (min(a, b),))
-        for (x,) in list(self.parent.keys()):
-            yield Row(id=x, component=self._find(x))
+            w = r["w"]
+            if w not in fresh:
+                fresh[w] = pickle.loads(self.open.getValue((w,))[0]) if self.open.containsKey((w,)) else self.summary.initial()
+                self.handle.registerTimer(w + 1)
+            self.summary.update(fresh[w], r["src"], r["dst"], r["value"])
+        for w, state in fresh.items():
+            self.open.updateValue((w,), (cloudpickle.dumps(state),))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        w = expiredTimerInfo.getExpiryTimeInMs() - 1
+        if not self.open.containsKey((w,)):
+            return
+        state = pickle.loads(self.open.getValue((w,))[0])
+        self.open.removeKey((w,))
+        if not self.summary.transient:
+            total = pickle.loads(self.total.get()[0]) if self.total.exists() else self.summary.initial()
+            self.summary.merge(total, state)
+            self.total.update((cloudpickle.dumps(total),))
+            state = total
+        yield from _rows_of(self.summary, state, w)
+
+    def close(self) -> None:
+        pass
+
+
+class VertexFold(StatefulProcessor):
+    """For each row of a key the output of a function that may change the key's state, any Python object."""
+
+    def __init__(self, initial, step, names: list[str], changes_only: bool):
+        self.initial, self.step, self.names, self.changes_only = initial, step, names, changes_only
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "state binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        state, last = pickle.loads(self.state.get()[0]) if self.state.exists() else (self.initial(), None)
+        for r in _ordered(rows):
+            state, out = self.step(state, r["id"], r["value"])
+            if not (self.changes_only and out == last):
+                yield Row(**dict(zip(self.names, out, strict=True)))
+            last = out
+        self.state.update((cloudpickle.dumps((state, last)),))
+
+    def close(self) -> None:
+        pass
+
+
+class Neighborhood(StatefulProcessor):
+    """(src, dst, neighbors) after each edge of a vertex; the state is the set of its neighbours."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.near = handle.getMapState("near", "id long", "one int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        near = {k[0] for k in self.near.keys()}
+        for r in _ordered(rows):
+            if r["dst"] not in near:
+                near.add(r["dst"])
+                self.near.updateValue((r["dst"],), (1,))
+            yield Row(src=key[0], dst=r["dst"], neighbors=sorted(near))
 
     def close(self) -> None:
         pass
@@ -263,25 +335,41 @@ def degree_distribution(events: DataFrame) -> DataFrame:
     return _run(changes, ["degree"], DegreeCount(), "degree long, vertices long, seq long")
 
 
-def components(stream: EdgeStream) -> DataFrame:
-    """The whole summary after each micro-batch; partitions thin their edges to forests first."""
+def run_summary(summary: Summary, stream: EdgeStream) -> DataFrame:
+    """A summary on a stream: by windows of event time, or after each micro-batch if it has none.
+
+    Windows on their own are kept apart by key; a running result needs all of them under one.
+    """
+    schema = f"{summary.schema}, window_end long"
+    edges = summary.edges_of(stream)
+    if summary.merge_window is None:
+        partial = summary._partial(edges).withColumn("all", F.lit(0))
+        return _run(partial, ["all"], SummaryBatches(summary), schema)
+    key = F.col("w") if summary.transient else F.lit(0).cast("long")
+    return edges.withColumn("key", key).groupBy("key").transformWithState(SummaryWindows(summary), schema, "Append", "EventTime")
 
-    def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = DisjointSet()
-        for frame in frames:
-            for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
-                sets.union(a, b)
-        yield pd.DataFrame([(x, sets.find(x)) for x in list(sets.parent)], columns=["src", "dst"]).astype("int64")
 
-    thin = stream.edges.select("src", "dst").mapInPandas(forest, "src long, dst long").withColumn("all", F.lit(0))
-    return _run(thin, ["all"], SummaryMerger(), "id long, component long")
+def components(stream: EdgeStream) -> DataFrame:
+    """The whole summary (id, component) after each micro-batch; partitions send their own summaries, not edges."""
+    return run_summary(components_summary(), stream).drop("window_end")
 
 
 def bipartite_sides(stream: EdgeStream) -> DataFrame:
-    """(id, component) of the double cover after each micro-batch: side + of v is 2v, side - is 2v + 1."""
-    ties = F.array(F.struct((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst")), F.struct((F.col("src") * 2 + 1).alias("src"), (F.col("dst") * 2).alias("dst")))
-    cover = stream.edges.select(F.explode(ties).alias("t")).select("t.src", "t.dst")
-    return components(EdgeStream(cover))
+    """(bipartite, component, id, sign) after each micro-batch."""
+    return run_summary(bipartite_summary(), stream).drop("window_end")
+
+
+def fold_vertices(stream: EdgeStream, edge_mapper, initial, step, schema: str, changes_only: bool = False, whole: bool = False) -> DataFrame:
+    """``EdgeStream.fold_vertices`` on a stream."""
+    rows = stream._mapped(edge_mapper).withColumn("key", F.lit(0).cast("long") if whole else F.col("id"))
+    names = [part.strip().split()[0] for part in schema.split(",")]
+    return _run(rows, ["key"], VertexFold(initial, step, names, changes_only), schema)
+
+
+def neighborhood(stream: EdgeStream, directed: bool = False) -> DataFrame:
+    """(src, dst, neighbors) after each edge."""
+    df = (stream if directed else stream.undirected()).edges
+    return _run(df.select("src", "dst", "seq"), ["src"], Neighborhood(), "src long, dst long, neighbors array<long>")
 
 
 def matching(stream: EdgeStream) -> DataFrame:

@@ -200,6 +200,56 @@ def test_bounded_search():
     assert not g.within(1, 4, 3)
 
 
+def test_running_by_key_cuts_a_hub(spark, monkeypatch):
+    """A key with most rows runs in several ranges of the order, with the results of one window."""
+    from edgewise.functions import running as R
+
+    rng = random.Random(5)
+    rows = [(seq, None if seq % 50 == 0 else 0 if seq % 10 else seq % 7, rng.randrange(-5, 9)) for seq in rng.sample(range(4000), 1200)]
+    df = spark.createDataFrame(rows, "seq long, key long, v long")
+    for kind, combine in (("sum", sum), ("max", max), ("min", min)):
+        got = {r.seq: (r.now, r.was) for r in R.running(df, "seq", F.col("v"), kind, "now", before="was", by=("key",)).collect()}
+        for key in {k for _, k, _ in rows}:
+            own = sorted((seq, v) for seq, k, v in rows if k == key)
+            for i, (seq, _) in enumerate(own):
+                before = [v for _, v in own[:i]]
+                assert got[seq] == (combine([v for _, v in own[: i + 1]]), combine(before) if before or kind == "sum" else None)
+    assert R.with_bucket(df, "seq", keyed=True).select("bucket").distinct().count() == 8
+
+
+def test_deletions_below_zero(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(6), rng.randrange(6), rng.choice([1, -1, -1])) for _ in range(300)]
+    degree, counts, want = {}, {}, []
+    for a, b, op in rows:
+        for v in (a, b):
+            old = degree.get(v, 0)
+            new = degree[v] = max(0, old + op)
+            if new == old:
+                continue
+            if new > 0:
+                counts[new] = counts.get(new, 0) + 1
+                want.append((new, counts[new]))
+            if old > 0:
+                counts[old] -= 1
+                want.append((old, counts[old]))
+    df = S.from_rows(spark, rows).withColumnRenamed("value", "op")
+    assert [(r.degree, r.vertices) for r in A.degree_distribution_trace(df).orderBy("seq").collect()] == want
+
+
+def test_local_triangle_trace(spark):
+    rows = random_edges(8, 15, 80)
+    got = {}
+    for r in A.triangle_trace(stream(spark, rows)).collect():
+        got.setdefault(r.id, {})[r.seq] = r.triangles
+    for end in range(len(rows)):
+        now = {}
+        for t in plain_triangles(rows[: end + 1]):
+            for v in (*t, -1):
+                now[v] = now.get(v, 0) + 1
+        assert {v: max(n for s, n in trace.items() if s <= end) for v, trace in got.items() if min(trace) <= end} == now
+
+
 def test_running_max_over_buckets(spark):
     from edgewise.functions.running import running
 

@@ -88,3 +88,62 @@ def test_windows(spark, tmp_path):
     assert sorted((r.id, r.value) for r in got if r.window_end == 999) == [(1, 25), (2, 23), (3, 69), (4, 45), (5, 51)]
     with pytest.raises(ValueError):
         g.slice("1 second").apply_on_neighbors(lambda v, near: [], "id long")
+
+
+def test_summary_of_values(spark, tmp_path):
+    from edgewise.operators.summary import totals_summary
+
+    path = files(spark, str(tmp_path / "in"), [*SAMPLE, (3, 9, None)], [2, 6])
+    g = EdgeStream(S.from_rows(spark, [*SAMPLE, (3, 9, None)]))
+    want = [(1, 2, 25, 13), (2, 1, 23, 23), (3, 2, 69, 35), (4, 1, 45, 45), (5, 1, 51, 51)]
+    for degree in (0, 2):
+        assert sorted((r.id, r.edges, r.total, r.most) for r in g.aggregate(totals_summary(degree=degree)).collect()) == want
+    latest = {}
+    for r in collected(spark, EdgeStream(read(spark, path)).aggregate(totals_summary()), tmp_path, "out"):
+        latest[r.id] = max((r.edges, r.total, r.most), latest.get(r.id, (0, 0, 0)))
+    assert sorted((k, *v) for k, v in latest.items()) == want
+
+
+@pytest.mark.parametrize("transient", [False, True])
+def test_summary_windows(spark, tmp_path, transient):
+    """Components by merge windows of event time, each with all before it or alone; the last window stays open."""
+    from edgewise.operators.summary import components_summary
+
+    rows = [(1, 2, None, 100), (1, 3, None, 400), (2, 3, None, 1100), (1, 5, None, 1500), (6, 7, None, 2200), (8, 9, None, 2300), (0, 0, None, 9_000), (0, 0, None, 90_000)]
+    path = files(spark, str(tmp_path / "in"), rows, [3, 7])
+    summary = components_summary("1 second", transient=transient)
+    got = {(r.window_end, r.id, r.component) for r in collected(spark, EdgeStream(read(spark, path), ts=F.col("ts")).aggregate(summary), tmp_path, "out")}
+    batch = {(r.window_end, r.id, r.component) for r in EdgeStream(S.from_rows(spark, rows)).aggregate(summary).collect()}
+    assert got == {x for x in batch if x[0] < 60_000} and {x[0] for x in got} == {999, 1999, 2999, 9999}
+
+
+def test_bipartite_summary_on_a_stream(spark, tmp_path):
+    from tests.test_algorithms import BIPARTITE, ODD
+
+    for name, rows, want in (("yes", BIPARTITE, {True}), ("no", ODD, {True, False})):
+        path = files(spark, str(tmp_path / name), rows, [2])
+        got = collected(spark, P.bipartite_sides(EdgeStream(read(spark, path))), tmp_path, f"out-{name}")
+        assert {r.bipartite for r in got} == want
+    signs = {}
+    path = files(spark, str(tmp_path / "signs"), BIPARTITE, [])
+    for r in collected(spark, P.bipartite_sides(EdgeStream(read(spark, path))), tmp_path, "out-signs"):
+        signs[r.id] = (r.component, r.sign)
+    assert signs == {1: (1, True), 2: (1, False), 3: (1, False), 4: (1, False), 5: (1, True), 7: (1, True), 9: (1, True)}
+
+
+def test_folds_and_neighborhoods(spark, tmp_path):
+    path = files(spark, str(tmp_path / "in"), SAMPLE, [3])
+    g, batch = EdgeStream(read(spark, path)), EdgeStream(S.from_rows(spark, SAMPLE))
+    ends = lambda s, d, v: F.array(F.struct(s.alias("id"), v.alias("value")), F.struct(d.alias("id"), v.alias("value")))
+
+    def longest(state, vertex, value):
+        state = max(state, value)
+        return state, (vertex, state)
+
+    for whole in (False, True):
+        fold = lambda s, w=whole: s.fold_vertices(ends, int, longest, "id long, most long", whole=w)
+        got = sorted(tuple(r) for r in collected(spark, fold(g), tmp_path, f"fold{whole}"))
+        assert got == sorted(tuple(r) for r in fold(batch).collect())
+    assert (3, 51) not in got and (1, 51) in got
+    trace = sorted((r.src, r.dst, r.neighbors) for r in collected(spark, P.neighborhood(g), tmp_path, "near"))
+    assert trace == sorted((r.src, r.dst, r.neighbors) for r in batch.build_neighborhood(trace=True).collect())
