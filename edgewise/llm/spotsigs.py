@@ -1,18 +1,18 @@
 """Document fingerprints by SpotSigs, in DataFrame operations only.
 
-Common words anchor signatures. An anchor is a word of at most three characters (function words are
-short in the languages at hand, and need no list); its signature is the anchor with the chain of the
-next two longer words, shorter ones skipped. The fingerprint of a text is the sorted set of the
-32-bit checksums of its signatures. Sets are compared by Jaccard; candidates are pruned by the
-lengths of the sets, and by the signatures that a similar set must share.
+Common words anchor signatures. Anchors are the ``ANCHORS`` words that are most frequent in the corpus at
+hand, counted over all its texts; the signature of an anchor's place is the anchor with the chain of
+the next two content words, that is words that are no anchors. The fingerprint of a text is the sorted set of the
+32-bit checksums of its signatures. Sets are compared by Jaccard; ``similar_pairs`` partitions them by
+length and prunes candidates by the rarest signatures, which a similar set must share.
 
-Words are runs of letters and digits, in lower case. A text is cut at its longer words: all short words
+Words are runs of letters and digits, in lower case. A text is cut at its content words: all anchors
 between two of them have the second and the one after it as their chain, so a text costs time in
-proportion to its words, however many short ones follow each other.
+proportion to its words, however many anchors follow each other.
 
 Edge cases: a null text is empty; a text without words has an empty fingerprint; a text with words
 but without a complete chain has a signature for each pair of adjacent words, or one of all of it
-if there is one word; two empty fingerprints are alike to
+if there is one word (so it is with all texts where all words are anchors); ties in frequency go by code point; two empty fingerprints are alike to
 1, an empty and another one to 0; equal texts have equal fingerprints; rows with one id are ordered
 by a hash of their text; null ids come last, by that hash; an empty table gives an empty result;
 columns other than id and text are not read by ``with_next``, and ``fingerprints`` replaces columns
@@ -21,37 +21,48 @@ named signatures and fingerprint.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.session import materialize
 
+#: How many of the most frequent words anchor signatures.
+ANCHORS = 64
 WORD, GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]++"
-LONG = rf"{WORD}{{4,}}+"
-
-#: For texts without any common word: every word is an anchor, its chain the next word.
+#: For texts without any chain: every word is an anchor, its chain the next word.
 PAIR = rf"(?<!{WORD})(?=({WORD}++{GAP}{WORD}++))"
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct checksums (array of longs) of the signatures of a text without nulls."""
-    plain = F.lower(text)
+def common_words(docs: DataFrame, text_col: str = "text", most: int = ANCHORS) -> list[str]:
+    """The most frequent words of all texts. Counts combine before the shuffle; only the words asked for come to the driver, by a job that runs here."""
+    words = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"{WORD}++"), F.lit(0)))
+    counted = docs.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+
 
-    def checksum(m: Column) -> Column:
-        words = F.split(m, GAP)
-        return F.crc32(F.concat_ws(":", F.element_at(words, 1), F.array_join(F.filter(words, lambda w: F.length(w) > 3), ":")))
+def content_word(anchors: list[str]) -> str:
+    """Pattern of a whole word that is no anchor."""
+    none_of = rf"(?!(?:{'|'.join(map(re.escape, anchors))})(?!{WORD}))" if anchors else ""
+    return rf"(?<!{WORD}){none_of}{WORD}++"
+
+
+def signatures(text: Column, anchors: list[str]) -> Column:
+    """Sorted distinct checksums (array of longs) of the signatures of a text without nulls."""
+    plain, content = F.lower(text), content_word(anchors)
 
     def of_anchors(p: Column) -> Column:
-        """Checksums of the short words before each long word that has another one after it."""
-        before = F.slice(p["between"], F.lit(1), F.greatest(F.size(p["longs"]) - 1, F.lit(0)))
-        chain = lambda i: F.concat_ws(":", F.get(p["longs"], i), F.get(p["longs"], i + 1))
-        anchors = lambda gap: F.regexp_extract_all(gap, F.lit(f"{WORD}++"), F.lit(0))
-        return F.flatten(F.transform(before, lambda gap, i: F.transform(anchors(gap), lambda a: F.crc32(F.concat_ws(":", a, chain(i))))))
+        """Checksums of the anchors before each content word that has another one after it."""
+        before = F.slice(p["between"], F.lit(1), F.greatest(F.size(p["content"]) - 1, F.lit(0)))
+        chain = lambda i: F.concat_ws(":", F.get(p["content"], i), F.get(p["content"], i + 1))
+        words = lambda gap: F.regexp_extract_all(gap, F.lit(f"{WORD}++"), F.lit(0))
+        return F.flatten(F.transform(before, lambda gap, i: F.transform(words(gap), lambda a: F.crc32(F.concat_ws(":", a, chain(i))))))
 
     # An array of one struct, so that its two arrays are computed once a text.
-    cut = F.array(F.struct(F.split(plain, LONG, -1).alias("between"), F.regexp_extract_all(plain, F.lit(LONG), F.lit(0)).alias("longs")))
+    cut = F.array(F.struct(F.split(plain, content, -1).alias("between"), F.regexp_extract_all(plain, F.lit(content), F.lit(0)).alias("content")))
     chains = F.flatten(F.transform(cut, of_anchors))
-    pairs = F.transform(F.regexp_extract_all(plain, F.lit(PAIR), F.lit(1)), checksum)
+    pairs = F.transform(F.regexp_extract_all(plain, F.lit(PAIR), F.lit(1)), lambda m: F.crc32(F.array_join(F.split(m, GAP), ":")))
 
     def distinct(sums: Column) -> Column:
         return F.sort_array(F.array_distinct(sums))
@@ -75,19 +86,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with signatures and fingerprint."""
-    return docs.withColumn("signatures", signatures(F.coalesce(F.col(text_col), F.lit("")))).withColumn("fingerprint", fingerprint(F.col("signatures")))
+def fingerprints(docs: DataFrame, text_col: str = "text", anchors: list[str] | None = None) -> DataFrame:
+    """``docs`` with signatures and fingerprint; anchors are the common words of ``docs`` unless given."""
+    anchors = common_words(docs, text_col) if anchors is None else anchors
+    return docs.withColumn("signatures", signatures(F.coalesce(F.col(text_col), F.lit("")), anchors)).withColumn("fingerprint", fingerprint(F.col("signatures")))
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", anchors: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Members (id, rep) of classes of equal fingerprints, and pairs (rep_a, rep_b, likeness) of similar classes.
 
     Sets of n signatures can only be similar to sets of threshold * n to n / threshold signatures, and
     share one of their rarest n - ceil(threshold * n) + 1. Both sides are joined by such a
     signature and a range of set lengths, so frequent signatures of unlike lengths never meet.
     """
-    marked = docs.select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col), F.lit(""))).alias("sigs"))
+    anchors = common_words(docs, text_col) if anchors is None else anchors
+    marked = docs.select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col), F.lit("")), anchors).alias("sigs"))
     marked = materialize(marked)
     classes = materialize(marked.groupBy("sigs").agg(F.min("id").alias("rep")))
     rows = classes.select("rep", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
@@ -122,7 +135,7 @@ def _bucket(ids: DataFrame, print_: Column, rows_each: int = 100, coarse: int =
     return F.when(x.isNull(), F.lit(-1).cast("long") - (F.shiftright(print_, 52) + 2048)).otherwise(place)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, anchors: list[str]) -> DataFrame:
     """(doc_id, text, sigs, next_text, next_sigs): each document with the one of the next smaller id, the smallest with the largest.
 
     Ids are cut into buckets; the first row of each bucket is also dealt to the bucket before it,
@@ -142,7 +155,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = tied.withColumn("place", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
     dealt = dealt.select("doc_id", "text", "print", "place.bucket", "place.ghost").repartition("bucket")
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "print")
-    led = dealt.withColumn("sigs", signatures(F.col("text")))
+    led = dealt.withColumn("sigs", signatures(F.col("text"), anchors))
     led = led.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)})
     return led.filter("NOT ghost").drop("bucket", "ghost", "print")
 
@@ -151,7 +164,8 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.length("text") - half), F.col("next_text").substr(F.lit(1), half))
-    rows = with_next(docs).withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
+    anchors = common_words(docs)
+    rows = with_next(docs, anchors).withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited"), anchors))
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -237,55 +237,98 @@ def test_gradients():
 # --- fingerprints
 
 
-def plain_signatures(text):
+def plain_signatures(text, anchors):
     text = text.lower()
     words, out = regex.findall(r"[\p{L}\p{N}]+", text), set()
     for i, a in enumerate(words):
-        if len(a) > 3:
-            continue
-        chain = [w for w in words[i + 1 :] if len(w) > 3][:2]
-        if len(chain) == 2:
-            out.add(zlib.crc32(":".join([a, *chain]).encode()))
+        if a in anchors:
+            chain = [w for w in words[i + 1 :] if w not in anchors][:2]
+            if len(chain) == 2:
+                out.add(zlib.crc32(":".join([a, *chain]).encode()))
     if not out:
-        out = {zlib.crc32((a + ":" + ":".join(w for w in (a, b) if len(w) > 3)).encode()) for a, b in zip(words, words[1:], strict=False)}
+        out = {zlib.crc32(f"{a}:{b}".encode()) for a, b in zip(words, words[1:], strict=False)}
     return out or ({zlib.crc32(text.encode())} if words else set())
 
 
+SHORT = ["the", "of", "a", "in", "é", "42"]
+
+
 def test_fingerprints_and_next(spark):
     rng = random.Random(8)
-    words = ["the", "of", "a", "in", "house", "river", "mountain", "green", "walking", "under", "é", "straße", "42"]
+    words = [*SHORT, "house", "river", "mountain", "green", "walking", "under", "straße", "theme"]
     texts = [" ".join(rng.choices(words, k=rng.randrange(60))) for _ in range(120)] + ODD_TEXTS + ["a " * 3_000 + "house river", "river"]
     df = table(spark, texts, True)
-    got = {r.doc_id: r for r in spotsigs.with_next(df.select("doc_id", "text")).collect()}
+    got = {r.doc_id: r for r in spotsigs.with_next(df.select("doc_id", "text"), SHORT).collect()}
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
         following = texts[i - 1] if i else texts[-1]
-        assert set(got[i].sigs) == plain_signatures(text or ""), text
+        assert set(got[i].sigs) == plain_signatures(text or "", SHORT), text
         assert got[i].next_text == (following or "")
-        assert set(got[i].next_sigs) == plain_signatures(following or "")
-    assert spotsigs.with_next(df.limit(0).select("doc_id", "text")).count() == 0
-
-
-def test_chains_skip_any_number_of_short_words(spark):
+        assert set(got[i].next_sigs) == plain_signatures(following or "", SHORT)
+    assert spotsigs.with_next(df.limit(0).select("doc_id", "text"), SHORT).count() == 0
+
+
+def test_next_of_repeated_and_null_ids(spark):
+    rows = [(5, "b"), (5, "a"), (7, "c"), (None, "n1"), (None, "n2"), (None, None), (-3, "d"), (5, "a")]
+    got = {(r.doc_id, r.text): r.next_text for r in spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string"), []).collect()}
+    prints = {t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] for t in ("a", "b", "n1", "n2", "")}
+    order = ["c", *sorted(["a", "a", "b"], key=prints.get), "d", *sorted(["n1", "n2", ""], key=prints.get)]
+    follows = list(zip(order, order[1:] + order[:1], strict=True))
+    assert all((t, nxt) in follows for (_, t), nxt in got.items())
+
+
+def test_common_words_are_the_most_frequent(spark):
+    df = table(spark, ["The the river", "of of THE 42", None, "a-b a", "b"])
+    assert spotsigs.common_words(df, most=3) == ["the", "a", "b"]
+    assert spotsigs.common_words(df, most=100) == ["the", "a", "b", "of", "42", "river"]
+
+
+def test_fingerprint_query(spark, tmp_path):
+    rng = random.Random(18)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary[:20], k=1)[0] if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    texts += [None, "", "é😀 漢字 " * 30, "x", texts[3], "word " * 9_000]
+    table(spark, texts, True).write.parquet(str(tmp_path / "documents.parquet"))
+    counts: dict = {}
+    for t in texts:
+        for w in regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()):
+            counts[w] = counts.get(w, 0) + 1
+    anchors = set(sorted(counts, key=lambda w: (-counts[w], w))[: spotsigs.ANCHORS])
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    got = {r.doc_id: r for r in spotsigs.op9_query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        text, following = text or "", texts[i - 1 if i else -1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        own, other, nxt = (plain_signatures(t, anchors) for t in (text, edited, following))
+        line = lambda s: " ".join(map(str, sorted(s)))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (line(own), line(other))
+        assert (r.near_edited, r.near_next) == (near(own, other), near(own, nxt))
+
+
+def test_chains_skip_any_number_of_anchors(spark):
     texts = [
         "The " + "of a " * 10 + "house " + "in 42 " * 9 + "river",
-        "a house of river " + "an " * 12 + "mountain under",
+        "a house of river " + "in " * 12 + "mountain under",
         "of " * 20_000 + "house river",
         "house " * 5_000 + "of river green",
     ]
     want = [
         {f"{w}:house:river" for w in ("the", "of", "a")},
-        {"a:house:river", "of:river:mountain", "an:mountain:under"},
+        {"a:house:river", "of:river:mountain", "in:mountain:under"},
         {"of:house:river"},
         {"of:river:green"},
     ]
-    got = {r.doc_id: set(r.signatures) for r in spotsigs.fingerprints(table(spark, texts)).collect()}
+    got = {r.doc_id: set(r.signatures) for r in spotsigs.fingerprints(table(spark, texts), anchors=SHORT).collect()}
     assert got == {i: {zlib.crc32(x.encode()) for x in w} for i, w in enumerate(want)}
 
 
 def test_similar_pairs(spark):
     base = " ".join(f"the word{i} of place{i}" for i in range(40))
     texts = [base, base, base + " extra tail words", "the other words of places entirely different"]
-    members, pairs = spotsigs.similar_pairs(table(spark, texts))
-    assert {r.id: r.rep for r in members.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    members, pairs = spotsigs.similar_pairs(table(spark, [*texts, "", None]), anchors=["the", "of"])
+    assert {r.id: r.rep for r in members.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4}
     assert [(r.rep_a, r.rep_b) for r in pairs.collect()] == [(0, 2)]
