@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,36 +211,38 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "te
     rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "round_trip")]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema) + "n_tokens long, ids array<int>, round_trip boolean"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for frame in frames:
-            for at in range(0, len(frame), rows_a_batch):
-                part = frame.iloc[at : at + rows_a_batch]
-                ids = [c.encode(t or "") for t in part[text_col]]
-                same = [c.decode(i) == (t or "").encode() for i, t in zip(ids, part[text_col], strict=True)]
-                yield part[rest].assign(n_tokens=[len(i) for i in ids], ids=ids, round_trip=same)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_a_batch):
+                part = batch.slice(at, rows_a_batch)
+                texts = [t or "" for t in part.column(len(rest)).to_pylist()]
+                ids = [c.encode(t) for t in texts]
+                same = [c.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True)]
+                added = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *added], [*part.schema.names[: len(rest)], "n_tokens", "ids", "round_trip"])
 
-    return docs.select(*rest, text_col).mapInPandas(run, schema)
+    # Arrow keeps the other columns as they are; pandas would turn ids beside null ones into floats.
+    return docs.select(*rest, text_col).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: a round trip of each text in one pass, without keeping the ids."""
 
-
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         names = {i: str(i) for i in c.token}
-        for frame in frames:
+        for batch in batches:
             out = []
-            for i, t in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = c.encode(t or "")
+            for t in batch.column(1):
+                ids = c.encode(t.as_py() or "")
                 said = " ".join(map(names.__getitem__, ids)).encode()
-                out.append((i, len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def blocks_of(page: str | None) -> list[Block]:
             closed = find.end_tag(tag, at)
             if closed < len(page) or tag in ALWAYS_RAW:
                 at = find.tag_end(closed) + 1
-                continue
+            continue  # one that is not closed is as if it were not there
         if not end and tag == "select" and (choices := CHOICES.match(page, at)):
             at = choices.end()
             continue

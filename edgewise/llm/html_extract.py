@@ -11,7 +11,9 @@ at random, with and without semantic elements, in invented words, whose blocks c
 The number of pages is a parameter; training takes seconds on the driver and its seed is fixed.
 
 Edge cases: null or empty markup gives an empty text; a page without main text too; very long pages
-are read as one sequence; malformed markup is read as far as it goes; other columns pass through.
+are read as one sequence; malformed markup is read the way browsers do, see ``html_blocks``; repeated
+pages have equal texts; an empty table gives an empty result; other columns pass through whatever their
+names, a column named as the text's is replaced.
 """
 
 from __future__ import annotations
@@ -370,5 +372,5 @@ def op4_query(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_html": op4_query}
-#: No SQL: the labeller is trained; tests/llm/test_html.py holds it against pages whose main text is known.
+#: No SQL: the labeller is trained; tests/llm/test_text_operators.py holds it against pages whose main text is known.
 SQL: dict[str, str] = {}

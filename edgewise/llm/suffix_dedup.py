@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -440,19 +441,22 @@ def joined(spans) -> np.ndarray:
 def op2_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
-    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Arrow keeps ids as they are; pandas would turn those beside null ones into floats.
+        for batch in batches:
             out = []
-            for i, data, spans in zip(frame["doc_id"], frame["data"], frame["spans"], strict=True):
+            for data, spans in zip(batch.column("data"), batch.column("spans"), strict=True):
+                data, spans = data.as_buffer(), spans.values.to_numpy()
                 h, at, removed = hashlib.sha256(), 0, 0
-                for a, b in np.asarray(spans).reshape(-1, 2).tolist():
+                for a, b in spans.reshape(-1, 2).tolist():
                     h.update(data[at:a])
                     at, removed = b, removed + b - a
                 h.update(data[at:])
-                out.append((i, len(data), removed, len(spans) // 2, h.hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(data), removed, len(spans) // 2, h.hexdigest()))
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64()] * 3 + [pa.string()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return remove_repeats(docs).mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return remove_repeats(docs).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 QUERIES = {"op2_suffix_dedup": op2_query}

@@ -338,6 +338,10 @@ def test_passage_digest(spark, tmp_path):
     shared = "".join(rng.choice("abcdefgh ") for _ in range(90))
     texts = [f"{i} {shared[i % 30:]} {'é' * (i % 4)}{i * i}" if i % 3 else f"text {i}" for i in range(40)] + [None, "", "x" * 200_000, "x" * 60]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"data": F.lit(1), "spans": F.lit("s")})
+    big = [((1 << 60) + 1, "of its own " * 9), (None, "no id " * 20)]
+    docs.unionByName(spark.createDataFrame(big, "doc_id long, text string"), allowMissingColumns=True).coalesce(1).write.parquet(str(tmp_path / "ids" / "documents.parquet"))
+    ids = {r.doc_id: r.n_bytes for r in suffix_dedup.op2_query(spark, str(tmp_path / "ids")).collect()}
+    assert (ids[(1 << 60) + 1], ids[None]) == (99, 120)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     want = {}
     kept = uncovered([(i, (t or "").encode()) for i, t in enumerate(texts)], 50)

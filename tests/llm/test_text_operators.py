@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -65,6 +66,9 @@ def test_token_digest(spark, tokens):
     coded = bpe.decode_column(bpe.encode_column(table(spark, ODD_TEXTS, True), path, pattern), path, pattern).collect()
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in coded)
     assert bpe.digest(table(spark, ["x"]).limit(0), path, pattern).count() == 0
+    big = spark.createDataFrame([((1 << 60) + 1, "a"), (None, "b"), ((1 << 60) + 1, None)], "doc_id long, text string").coalesce(1)
+    for out in (bpe.digest(big, path, pattern), bpe.encode_checked(big, path, pattern)):
+        assert sorted(((r.doc_id, r.n_tokens) for r in out.collect()), key=str) == [((1 << 60) + 1, 0), ((1 << 60) + 1, 1), (None, 1)]
 
 
 # --- personal data
@@ -202,6 +206,97 @@ def test_blocks():
     assert html_blocks.blocks_of("<a b='" * 20_000) is not None
 
 
+def texts_of(page):
+    return [b.text for b in html_blocks.blocks_of(page)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one <script>x</script> two</p>", ["one two"]),
+        ("<p>one <svg><path d='M0'/><text>icon</text></svg>two</p>", ["one two"]),
+        ("<p>pick <select name=a><option>red<option>blue</select> now</p><p>next", ["pick now", "next"]),
+        ("<article><p>first<select><option>a<p>second</p><p>third</article>", ["first", "a", "second", "third"]),
+        ("<p>a <noscript>plain <b>form</b></noscript> b</p>", ["a plain form b"]),
+        ("<div><object data=x><p>fallback</p></object><iframe src=x>no frames</iframe><textarea>typed</textarea>end", ["fallback", "end"]),
+        ("<p>kept <textarea>open <p>more", ["kept open", "more"]),
+        ("<script>var a = '</p>'; // never closed <p>x", []),
+        ("a<!-- <p>no</p> -->b<!doctype html>c<?php x ?>d</ >e<1", ["abcde<1"]),
+        ("<p title='a > b'>x</p><p title=it's>y</p><p title='open>z</p><p>w", ["x", "y", "z", "w"]),
+        ("<P CLASS=X>&lt;b&gt;&nbsp;&#233;&amp;amp;\u00a0 \n z<BR>q</P>", ["<b> é&amp; z q"]),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table>", ["a", "b", "c", "d", "1", "2", "3"]),
+        ("</div></p>stray</span><dl><dt>t<dd>d</dl>", ["stray", "t", "d"]),
+    ],
+)
+def test_blocks_of_odd_markup(page, want):
+    assert texts_of(page) == want
+
+
+def test_links_reach_through_inline_elements():
+    block = html_blocks.blocks_of("<li><a href=x><b><i><u><em><small>all of it</small></em></u></i></b></a></li>")[0]
+    assert block.linked == 1 and block.path == ("li",)
+    assert [b.linked for b in html_blocks.blocks_of("<p><a>one</a>two</p><p>three")] == [0.5, 0]
+
+
+@pytest.mark.parametrize("unit", ["<a b='", '<a b="x', "<svg>", "<textarea><p>x", "<!--", "<p", "</x", "<b>", "<b><p>x</p>", "<div>x", "<ul><li>x", "<select><option>", "<", "&amp;", "</div>", "<p><a href='x>y</a>"])
+def test_time_is_linear(unit):
+    import time
+
+    def took(n):
+        page = unit * (n // len(unit))
+        began = time.perf_counter()
+        html_blocks.blocks_of(page)
+        return time.perf_counter() - began
+
+    took(20_000)
+    assert took(800_000) < 16 * max(took(200_000), 0.05)
+
+
+def test_extraction_of_tables(spark):
+    rows = [(1, None, PAGE, "old", 7), (1, None, PAGE, "old", 7), (None, "u", None, None, 8), (2, "v", "", None, 9), (3, "w", "<p>" + "word " * 200_000, None, 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    out = html_extract.extract_text(pages, train_pages=60)
+    assert out.columns == pages.columns
+    got = sorted(out.collect(), key=lambda r: r.n_chars)
+    assert [(r.page_id, r.url, r.n_chars) for r in got] == [(r[0], r[1], r[4]) for r in rows]
+    assert got[0].text == got[1].text and [r.text for r in got[2:4]] == ["", ""] and got[4].text in ("", " ".join(["word"] * 200_000))
+    assert html_extract.extract_text(pages.limit(0), train_pages=60).count() == 0
+
+
+LOREM = "Sailors who crossed the strait in autumn kept a second lamp for the hours before dawn, and most of them trusted it more than the first."
+HAND_MADE = [
+    (f"<html><body><div id=page><div class=navbar><a href=/>Start</a> <a href=/n>News</a> <a href=/c>Contact</a></div><div class=post-content><h1>The second lamp</h1><p>{LOREM}</p><p>{LOREM}</p>"
+     f"<blockquote>{LOREM}</blockquote></div><div id=sidebar><h3>Related</h3><ul><li><a href=1>Harbours</a><li><a href=2>Lamps</a></ul></div><div id=footer>Copyright 2024</div></div>",
+     ["The second lamp", LOREM, LOREM, LOREM]),
+    (f"<body><header><a href=/>Logo</a></header><nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav><main><article><h1>Tides</h1><p>{LOREM}<aside class=related><a href=x>More on tides</a></aside>"
+     f"<h2>Later</h2><p>{LOREM}</article></main><section class=comments><h2>2 replies</h2><p>Well said!</p><p>I do not agree with this.</p></section><footer>Terms</footer>",
+     ["Tides", LOREM, "Later", LOREM]),
+    (f"<body><div class='cookie-notice'>We use cookies. <button>Accept</button></div><article class=story><h1>Reefs</h1><p>{LOREM}</p><div class=ad>Sponsored: buy lamps now</div><p>{LOREM}</p><ol><li>{LOREM}</li></ol></article>"
+     "<form class=newsletter><label>Email</label><input><button>Subscribe</button></form>",
+     ["Reefs", LOREM, LOREM, LOREM]),
+]
+
+
+def test_hand_made_pages(extractor):
+    right = there = said = 0
+    for (_, want), text in zip(HAND_MADE, extractor.texts([page for page, _ in HAND_MADE]), strict=True):
+        got = text.split("\n")
+        right, there, said = right + sum(x in want for x in got), there + len(want), said + len(got)
+    assert right / there >= 0.9 and right / said >= 0.9
+
+
+def test_pages_of_the_tables(extractor):
+    """On the given pages the main text is what stands in the article."""
+    import pandas
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    pages = pandas.read_parquet(f"{folder}/pages.parquet")["html"].tolist()
+    want = ["\n".join(b.text for b in html_blocks.blocks_of(p) if any(e.split()[0] == "article" for e in b.path)) for p in pages]
+    assert np.mean([a == b for a, b in zip(extractor.texts(pages), want, strict=True)]) >= 0.98
+
+
 def test_main_text(extractor):
     text = extractor.texts([PAGE, None, "", "<p>"])
     assert text[0] == "A & B\nFirst paragraph with bold text © and many words that make it long enough to be read.\nSecond one follows here, with some more words in it."
