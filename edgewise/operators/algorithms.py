@@ -215,7 +215,9 @@ def weighted_matching(stream: EdgeStream) -> DataFrame:
 
 
 def _uniform(seed: int, what: str) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), F.col("sampler")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A number in (0, 1) that depends on the seed, what is drawn, and the sampler."""
+    key = F.concat(F.lit(f"{seed}:{what}:"), F.col("sampler").cast("string"))
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def _estimate(stream: EdgeStream, vertices: int | None, samples: int, seed: int, incident_only: bool) -> DataFrame:
