@@ -103,6 +103,36 @@ SQL = {
     "bipartite_dense": DENSE,
     "bipartite_summary_sides": SIDES,
 }
+#: One step of recursion an edge: the row 'step' holds how many edges have passed (k) and events were made (value), 'at' the edge
+#: that a vertex is matched by, 'event' what happened.
+MATCHING = G + """, e AS MATERIALIZED (SELECT src, dst, value, row_number() OVER (ORDER BY seq) AS k FROM g),
+m(kind, id, event, src, dst, value, k) USING KEY (kind, id) AS (
+  SELECT 'step', 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT
+  UNION
+  (WITH now AS (SELECT e.src, e.dst, e.value, e.k, m.value AS n FROM m JOIN e ON e.k = m.k + 1 WHERE m.kind = 'step'),
+     met AS (SELECT c.src, c.dst, c.value, min(CASE WHEN c.id = now.src THEN 0 ELSE 1 END) AS o, any_value(now.value) AS w
+       FROM now JOIN recurring.m c ON c.kind = 'at' AND (c.id = now.src OR c.id = now.dst) AND c.value IS NOT NULL GROUP BY c.src, c.dst, c.value),
+     won AS (SELECT now.*, t.many FROM now, (SELECT coalesce(sum(value), 0) AS total, count(*) AS many FROM met) t WHERE now.value > 2 * t.total)
+   SELECT 'step', 0, NULL, NULL, NULL, now.n + coalesce((SELECT many + 1 FROM won), 0), now.k FROM now
+   UNION ALL SELECT 'at', x.id, NULL, NULL, NULL, NULL, NULL FROM won, (SELECT src AS id FROM met UNION SELECT dst FROM met) x WHERE x.id <> won.src AND x.id <> won.dst
+   UNION ALL SELECT 'at', x.id, NULL, won.src, won.dst, won.value, NULL FROM won, (SELECT src AS id FROM now UNION SELECT dst FROM now) x
+   UNION ALL SELECT 'event', won.n + row_number() OVER (ORDER BY met.o) - 1, 'REMOVE', met.src, met.dst, met.value, NULL FROM won, met
+   UNION ALL SELECT 'event', won.n + won.many, 'ADD', won.src, won.dst, won.value, NULL FROM won))
+"""
+#: One step an edge: 'kept' and 'back' hold the spanner both ways; an edge stays if no path of two or three kept ones ties its ends.
+SPANNER = G + """, e AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY seq) AS k FROM (
+  SELECT src, dst, seq, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY seq) AS n FROM g WHERE src <> dst) WHERE n = 1),
+s(kind, a, b, k) USING KEY (kind, a, b) AS (
+  SELECT 'step', 0::BIGINT, 0::BIGINT, 0::BIGINT
+  UNION
+  (WITH now AS (SELECT e.src, e.dst, e.k FROM s JOIN e ON e.k = s.k + 1 WHERE s.kind = 'step'),
+     p AS (SELECT r.b AS x FROM now JOIN recurring.s r ON r.kind <> 'step' AND r.a = now.src),
+     q AS (SELECT r.b AS x FROM now JOIN recurring.s r ON r.kind <> 'step' AND r.a = now.dst),
+     near AS (SELECT 1 AS one FROM p JOIN q USING (x) UNION ALL SELECT 1 FROM p JOIN recurring.s r ON r.kind <> 'step' AND r.a = p.x JOIN q ON q.x = r.b)
+   SELECT 'step', 0, 0, now.k FROM now
+   UNION ALL SELECT 'kept', now.src, now.dst, NULL FROM now WHERE NOT EXISTS (SELECT 1 FROM near)
+   UNION ALL SELECT 'back', now.dst, now.src, NULL FROM now WHERE NOT EXISTS (SELECT 1 FROM near)))
+SELECT a AS src, b AS dst FROM s WHERE kind = 'kept'"""
 #: The draws of a sampler are digests, so both sides draw alike; 3735928559 is the seed.
 ESTIMATE = G + """, d AS (SELECT src, dst, row_number() OVER (ORDER BY seq) AS place FROM (
           SELECT src, dst, seq, row_number() OVER (PARTITION BY src, dst ORDER BY seq) AS n FROM g) WHERE n = 1),
@@ -140,6 +170,9 @@ SQL |= {
           FROM (SELECT DISTINCT w FROM e) x JOIN e ON e.w <= x.w GROUP BY e.src, x.w)""",
     "summary_values_transient": G + """, e AS (SELECT *, (epoch_ms(ts) // 864000000 + 1) * 864000000 - 1 AS w FROM g)
         SELECT src AS id, count(*) AS edges, sum(value)::BIGINT AS total, max(value) AS most, w AS window_end FROM e GROUP BY src, w""",
+    "spanner": SPANNER,
+    "matching_events": MATCHING + "SELECT id AS at, event, src, dst, value FROM m WHERE kind = 'event'",
+    "weighted_matching": MATCHING + "SELECT DISTINCT src, dst, value FROM m WHERE kind = 'at' AND value IS NOT NULL",
     "triangle_estimate_broadcast": ESTIMATE,
     "triangle_estimate_incidence": ESTIMATE,
     "bipartite_windows": G + """, b AS (SELECT window_end AS w, src * 2 AS src, dst * 2 + 1 AS dst FROM g UNION SELECT window_end, src * 2 + 1, dst * 2 FROM g),
@@ -156,4 +189,3 @@ for way, source, key in (("out", "g", "src"), ("in", "g", "dst"), ("all", "u", "
     SQL[f"slice_fold_{way}"] = G + f"SELECT {key} AS id, sum(value + {near})::BIGINT AS value, window_end FROM {source} GROUP BY {key}, window_end"
     SQL[f"slice_reduce_{way}"] = G + f"SELECT {key} AS id, sum(value)::BIGINT AS value, window_end FROM {source} GROUP BY {key}, window_end"
     SQL[f"slice_apply_{way}"] = G + f"SELECT {key} AS id, CASE WHEN sum(value) > 10000 THEN 'big' ELSE 'small' END AS size, window_end FROM {source} GROUP BY {key}, window_end"
-#: No SQL: the spanner and the matching depend on the order of all edges, a step of recursion each; tests hold them against plain Python.
