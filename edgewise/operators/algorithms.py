@@ -104,7 +104,7 @@ def triangle_trace(stream: EdgeStream) -> DataFrame:
     ordered = found.select(F.array_sort(F.array("x", "y", "z")).alias("v")).select(F.col("v")[0].alias("p"), F.col("v")[1].alias("q"), F.col("v")[2].alias("r"))
     timed = ordered.join(corner("p", "q", "s1"), ["p", "q"]).join(corner("q", "r", "s2"), ["q", "r"]).join(corner("p", "r", "s3"), ["p", "r"])
     events = timed.select(F.greatest("s1", "s2", "s3").alias("seq"), F.explode(F.array("p", "q", "r", F.lit(-1).cast("long"))).alias("id"))
-    each = events.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("n"))
+    each = materialize(events.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("n")))
     return running(each, "seq", F.col("n"), name="triangles", by=("id",)).select("id", "triangles", "seq")
 
 
@@ -132,7 +132,7 @@ def degree_changes(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.posexplode(F.array("src", "dst")).alias("o", "id"), "op", "seq").select("id", "op", (F.col("seq") * 2 + F.col("o")).alias("at"))
 
     # Clamping at zero: running sum minus its running minimum below zero.
-    summed = running(ends, "at", F.col("op"), name="sum", by=("id",))
+    summed = materialize(running(ends, "at", F.col("op"), name="sum", by=("id",)))
     lowest = running(summed, "at", F.col("sum"), "min", "low", before="low_before", by=("id",))
     zero = F.lit(0)
     new = F.col("sum") - F.least(zero, F.col("low"))
