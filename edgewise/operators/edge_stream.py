@@ -194,8 +194,17 @@ class EdgeStream:
     def global_aggregate(self, value: EdgeExpression, kind: str = "sum", updates: bool = False, trace: bool = True) -> DataFrame:
         """(value): the running sum, max or min of a value of each edge over the whole stream.
 
-        With ``updates`` only rows where it changed. It runs in parallel by ranges of seq.
+        With ``updates`` only rows where it changed. A batch runs in parallel by ranges of seq; a stream in one task, on whole numbers.
         """
+        if self._df.isStreaming:
+            best = {"sum": lambda a, b: a + b, "max": max, "min": min}[kind]
+
+            def step(state: object, vertex: object, v: object) -> tuple:
+                state = state if v is None else v if state is None else best(state, v)
+                return state, (state,)
+
+            one = lambda s, d, v: F.array(F.struct(F.lit(0).cast("long").alias("id"), value(s, d, v).cast("long").alias("value")))
+            return self.fold_vertices(one, lambda: None, step, "value long", changes_only=updates, whole=True)
         from edgewise.functions.running import AGGREGATES
 
         own = self._df.withColumn("_own", value(F.col("src"), F.col("dst"), self._value()))

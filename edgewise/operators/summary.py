@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.operators.snapshot import window_end
+from edgewise.operators.summaries.adjacency import AdjacencyGraph
 from edgewise.operators.summaries.disjoint_set import DisjointSet, SignedComponents
 from edgewise.session import materialize
 
@@ -171,3 +172,27 @@ def totals_summary(merge_window: str | None = None, transient: bool = False, deg
         lambda s: [(x, *own) for x, own in s.by_vertex.items()], "id long, edges long, total long, most long",
         merge_window, transient, degree,
     )
+
+
+class TriangleCounter(AdjacencyGraph):
+    """The triangles among the edges seen; loops and repeats count nothing."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.triangles = 0
+
+    def add(self, a, b) -> None:
+        if a != b and b not in self.near.get(a, ()):
+            self.triangles += len(self.near.get(a, set()) & self.near.get(b, set()))
+            self.add_edge(a, b)
+
+    def merge(self, other: TriangleCounter) -> None:
+        for a, b in other.edges():
+            self.add(a, b)
+
+
+def triangles_summary(merge_window: str | None = None, transient: bool = True, degree: int = 0) -> Summary:
+    """(triangles) of each window, or of all before its end; the window form that runs on streams too."""
+    return Summary(
+        TriangleCounter, lambda s, a, b, v: s.add(a, b), lambda s, o: s.merge(o), lambda s: [(s.triangles,)], "triangles long", merge_window, transient, degree,
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgewise.operators import algorithms as A
 from edgewise.operators.edge_stream import EdgeStream
-from edgewise.operators.summary import bipartite_summary, components_summary, totals_summary
+from edgewise.operators.summary import bipartite_summary, components_summary, totals_summary, triangles_summary
 from edgewise.session import shared_dir
 from edgewise.sources import edges as S
 
@@ -293,6 +293,11 @@ def window_triangles(spark, sf_dir):
     return A.window_triangles(events(spark, sf_dir), "1 day")
 
 
+@query
+def window_triangles_summary(spark, sf_dir):
+    return events(spark, sf_dir).aggregate(triangles_summary("1 day"))
+
+
 @query
 def exact_triangles(spark, sf_dir):
     return A.exact_triangles(events(spark, sf_dir)).filter("id = -1").select("triangles")

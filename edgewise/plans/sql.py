@@ -149,6 +149,7 @@ ESTIMATE = G + """, d AS (SELECT src, dst, row_number() OVER (ORDER BY seq) AS p
         hit AS (SELECT count(*) AS beta FROM third t JOIN last x ON x.p = least(a, c) AND x.q = greatest(a, c) AND x.last > place
           JOIN last y ON y.p = least(b, c) AND y.q = greatest(b, c) AND y.last > place)
         SELECT m AS edges, beta, trunc(beta::DOUBLE / 10000 * m * (vertices - 2))::BIGINT AS estimate FROM hit, n"""
+SQL["window_triangles_summary"] = SQL["window_triangles"]
 BOTH = "SELECT src AS id, value, seq * 16 AS seq FROM g UNION ALL SELECT dst, value, seq * 16 + 1 FROM g"
 SQL |= {
     "fold_vertices": G + f"""SELECT id, count(*) OVER w AS n, max(value) OVER w AS most FROM ({BOTH})

@@ -311,6 +311,132 @@ class TriangleSampler(StatefulProcessor):
         pass
 
 
+class IncidenceRouter(StatefulProcessor):
+    """Holds the coins and samples of all samplers, and forwards to their shards only new samples and edges that touch one.
+
+    Keeping edge i with chance 1/i means that the sample drawn at i is next replaced at floor(i / u) + 1 for a
+    uniform u, so a sampler costs nothing between its draws. u comes from the seed, the sampler and i.
+    """
+
+    def __init__(self, vertices: int, samplers: int, shards: int, seed: int):
+        self.vertices, self.samplers, self.shards, self.seed = vertices, samplers, shards, seed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "state binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import heapq
+        import random
+
+        known = self.state.exists()
+        n, due, held, near = pickle.loads(self.state.get()[0]) if known else (0, [(1, s) for s in range(self.samplers)], {}, {})
+        for r in _ordered(rows):
+            n += 1
+            a, b = r["src"], r["dst"]
+            fresh = set()
+            while due[0][0] == n:
+                s = due[0][1]
+                rng = random.Random(f"{self.seed}:{s}:{n}")
+                heapq.heapreplace(due, (int(n / (1 - rng.random())) + 1, s))
+                c = rng.randrange(self.vertices)
+                while c in (a, b) and self.vertices > 2:
+                    c = rng.randrange(self.vertices)
+                for v in held.get(s, ()):
+                    near[v].discard(s)
+                held[s] = {a, b}
+                for v in (a, b):
+                    near.setdefault(v, set()).add(s)
+                fresh.add(s)
+                yield Row(shard=s % self.shards, sampler=s, a=a, b=b, c=c, seq=n)
+            for s in (near.get(a, set()) | near.get(b, set())) - fresh:
+                yield Row(shard=s % self.shards, sampler=s, a=a, b=b, c=None, seq=n)
+        self.state.update((cloudpickle.dumps((n, due, held, near)),))
+
+    def close(self) -> None:
+        pass
+
+
+class HeldSamples(StatefulProcessor):
+    """A shard of samplers behind the router: (shard, edges, beta) whenever beta changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", "sampler int", "a long, b long, c long, first boolean, second boolean")
+        self.last = handle.getValueState("last", "beta long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        beta = self.last.get()[0] if self.last.exists() else 0
+        for r in _ordered(rows):
+            s = (r["sampler"],)
+            old = list(self.held.getValue(s)) if self.held.containsKey(s) else [None, None, None, False, False]
+            if r["c"] is not None:
+                new = [r["a"], r["b"], r["c"], False, False]
+            else:
+                a, b, c, first, second = old
+                ends = {r["a"], r["b"]}
+                new = [a, b, c, first or ends == {a, c}, second or ends == {b, c}]
+            if new != old:
+                self.held.updateValue(s, tuple(new))
+            change = (new[3] and new[4]) - (old[3] and old[4])
+            if change:
+                beta += change
+                yield Row(shard=key[0], edges=r["seq"], beta=beta)
+        self.last.update((beta,))
+
+    def close(self) -> None:
+        pass
+
+
+class EstimateOnChange(StatefulProcessor):
+    """(edges, beta, estimate) over all shards, whenever the estimate changes."""
+
+    def __init__(self, vertices: int, samplers: int):
+        self.vertices, self.samplers = vertices, samplers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.betas = handle.getMapState("betas", "shard int", "beta long")
+        self.last = handle.getValueState("last", "edges long, estimate long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        edges, last = self.last.get() if self.last.exists() else (0, None)
+        betas = {k[0]: v[0] for k, v in self.betas.iterator()}
+        for r in sorted(rows, key=lambda r: r["edges"]):
+            betas[r["shard"]] = r["beta"]
+            self.betas.updateValue((r["shard"],), (r["beta"],))
+            edges = max(edges, r["edges"])
+            estimate = int(sum(betas.values()) / self.samplers * edges * (self.vertices - 2))
+            if estimate != last:
+                last = estimate
+                yield Row(edges=edges, beta=sum(betas.values()), estimate=estimate)
+        self.last.update((edges, last))
+
+    def close(self) -> None:
+        pass
+
+
+class TriangleTrace(StatefulProcessor):
+    """(id, triangles) of each vertex of a new triangle, and the count over the graph as id -1, at the triangle's last edge."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "state binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        near, counts = pickle.loads(self.state.get()[0]) if self.state.exists() else ({}, {})
+        for r in _ordered(rows):
+            a, b = r["src"], r["dst"]
+            if a == b or b in near.get(a, ()):
+                continue
+            third = near.get(a, set()) & near.get(b, set())
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+            for v, more in [*((c, 1) for c in third), *((v, len(third)) for v in (a, b, -1) if third)]:
+                counts[v] = counts.get(v, 0) + more
+                yield Row(id=v, triangles=counts[v], seq=r["seq"])
+        self.state.update((cloudpickle.dumps((near, counts)),))
+
+    def close(self) -> None:
+        pass
+
+
 # --- operators on streams --------------------------------------------------------------------------
 
 
@@ -385,3 +511,23 @@ def triangle_betas(stream: EdgeStream, vertices: int, shards: int = 4, per_shard
     """(shard, edges, beta); an estimate is sum of the latest betas / samplers * edges * (vertices - 2)."""
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     return _run(stream.edges.select(every, "src", "dst", "seq"), ["shard"], TriangleSampler(vertices, per_shard, seed), "shard int, edges long, beta long")
+
+
+def triangle_betas_incidence(stream: EdgeStream, vertices: int, shards: int = 4, per_shard: int = 64, seed: int = 0xDEADBEEF) -> DataFrame:
+    """(shard, edges, beta) as ``triangle_betas``, but a shard sees only new samples and edges that touch one."""
+    routed = _run(
+        stream.edges.select(F.lit(0).alias("all"), "src", "dst", "seq"), ["all"], IncidenceRouter(vertices, shards * per_shard, shards, seed),
+        "shard int, sampler int, a long, b long, c long, seq long",
+    )
+    return _run(routed, ["shard"], HeldSamples(), "shard int, edges long, beta long")
+
+
+def triangle_estimates(stream: EdgeStream, vertices: int, shards: int = 4, per_shard: int = 64, seed: int = 0xDEADBEEF, incident_only: bool = False) -> DataFrame:
+    """(edges, beta, estimate) whenever the estimate changes."""
+    betas = (triangle_betas_incidence if incident_only else triangle_betas)(stream, vertices, shards, per_shard, seed)
+    return _run(betas.withColumn("all", F.lit(0)), ["all"], EstimateOnChange(vertices, shards * per_shard), "edges long, beta long, estimate long")
+
+
+def triangle_trace(stream: EdgeStream) -> DataFrame:
+    """(id, triangles, seq) running counts; the state of one task is the graph."""
+    return _run(stream.edges.select("src", "dst", "seq", F.lit(0).alias("all")), ["all"], TriangleTrace(), "id long, triangles long, seq long")

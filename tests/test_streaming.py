@@ -147,3 +147,53 @@ def test_folds_and_neighborhoods(spark, tmp_path):
     assert (3, 51) not in got and (1, 51) in got
     trace = sorted((r.src, r.dst, r.neighbors) for r in collected(spark, P.neighborhood(g), tmp_path, "near"))
     assert trace == sorted((r.src, r.dst, r.neighbors) for r in batch.build_neighborhood(trace=True).collect())
+
+
+def test_global_aggregate_and_triangle_trace(spark, tmp_path):
+    path = files(spark, str(tmp_path / "in"), SAMPLE, [2, 5])
+    g, batch = EdgeStream(read(spark, path)), EdgeStream(S.from_rows(spark, SAMPLE))
+    for k, (kind, updates) in enumerate((("max", True), ("sum", False), ("min", True))):
+        run = lambda s, kind=kind, updates=updates: s.global_aggregate(lambda a, b, v: b, kind, updates=updates)
+        assert sorted(r.value for r in collected(spark, run(g), tmp_path, f"agg{k}")) == sorted(r.value for r in run(batch).collect())
+    from edgewise.operators import algorithms as A
+
+    got, want = {}, {}
+    for r in collected(spark, P.triangle_trace(g), tmp_path, "trace"):
+        got[r.id, r.seq] = max(r.triangles, got.get((r.id, r.seq), 0))
+    for r in A.triangle_trace(batch).collect():
+        want[r.id, r.seq] = r.triangles
+    assert got == want and max(n for (v, _), n in want.items() if v == -1) == 3
+
+
+def test_window_triangles(spark, tmp_path):
+    from edgewise.operators.summary import triangles_summary
+    from tests.test_algorithms import TIMED
+
+    rows = [(a, b, None, ms) for a, b, ms in TIMED]
+    want = {(2, 399), (3, 799), (2, 1199)}
+    assert {(r.triangles, r.window_end) for r in EdgeStream(S.from_rows(spark, rows)).aggregate(triangles_summary("400 milliseconds", degree=2)).collect()} == want
+    path = files(spark, str(tmp_path / "in"), [*rows, (1, 1, None, 9_000), (1, 1, None, 9_100)], [7, 19, 20])
+    got = collected(spark, EdgeStream(read(spark, path), ts=F.col("ts")).aggregate(triangles_summary("400 milliseconds")), tmp_path, "out")
+    assert {(r.triangles, r.window_end) for r in got if r.window_end < 2000} == want
+
+
+@pytest.mark.parametrize("incident_only", [False, True])
+def test_estimates_are_emitted_on_change(spark, tmp_path, incident_only):
+    """Each vertex with the next two: n triangles. The latest estimate is near, and no two in a row are equal."""
+    n = 24
+    rows = [(k, k + d) for k in range(n) for d in (1, 2)]
+    path = files(spark, str(tmp_path / "in"), rows, [20])
+    g = EdgeStream(read(spark, path))
+    got = collected(spark, P.triangle_estimates(g, n + 2, 2, 600, seed=3, incident_only=incident_only), tmp_path, "out")
+    last = max(got, key=lambda r: (r.edges, r.estimate))
+    assert 0.5 * n < last.estimate < 1.6 * n and len({(r.edges, r.beta) for r in got}) > 1
+    if incident_only:
+        routed = P._run(g.edges.select(F.lit(0).alias("all"), "src", "dst", "seq"), ["all"], P.IncidenceRouter(n + 2, 1200, 2, 3), "shard int, sampler int, a long, b long, c long, seq long")
+        sent = collected(spark, routed, tmp_path, "routed")
+        assert len(sent) < 0.5 * len(rows) * 1200
+        samples = {}
+        for r in sorted(sent, key=lambda r: r.seq):
+            if r.c is not None:
+                samples[r.sampler] = r.seq
+        share = sum(seq > len(rows) // 2 for seq in samples.values()) / 1200  # a sampler's last edge is uniform
+        assert len(samples) == 1200 and 0.44 < share < 0.56
