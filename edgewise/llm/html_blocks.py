@@ -56,8 +56,10 @@ class _Finder:
     def end_tag(self, tag: str, at: int) -> int:
         """Where the end tag of ``tag`` begins; the page's length if there is none."""
         if self.lower is None:
-            # Only ASCII letters fold, so that places stay the same.
-            self.lower = _Finder(self.page.translate({k: k + 32 for k in range(65, 91)}))
+            lower = self.page.lower()
+            if len(lower) != len(self.page):  # a letter became two; only ASCII letters fold then, so that places stay the same
+                lower = self.page.translate({k: k + 32 for k in range(65, 91)})
+            self.lower = _Finder(lower)
         return self.lower.next(f"</{tag}", at)
 
     def tag_end(self, at: int) -> int:

@@ -44,7 +44,7 @@ GAIN = 50.0
 #: Share of a text's words that a step of the fit sees.
 SHOWN = 0.65
 #: Words kept in a worker's cache before it is emptied.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 words_of = re.compile(r"\w+").findall
 

@@ -225,6 +225,7 @@ def texts_of(page):
         ("<p title='a > b'>x</p><p title=it's>y</p><p title='open>z</p><p>w", ["x", "y", "z", "w"]),
         ("<P CLASS=X>&lt;b&gt;&nbsp;&#233;&amp;amp;\u00a0 \n z<BR>q</P>", ["<b> é&amp; z q"]),
         ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table>", ["a", "b", "c", "d", "1", "2", "3"]),
+        ("\u0130\u0130<p>a<SCRIPT>x</Script>b</p>", ["\u0130\u0130", "ab"]),
         ("</div></p>stray</span><dl><dt>t<dd>d</dl>", ["stray", "t", "d"]),
     ],
 )
