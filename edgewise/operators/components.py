@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     rest = given.filter("src != dst")
     label = None
     while not rest.isEmpty():
-        parents = materialize(_hooks(rest))
+        parents = _hooks(rest)
         while True:  # double the pointers until every vertex points to a root
             up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
             jumped = materialize(parents.join(up, "parent", "left").select("id", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("rose")))
