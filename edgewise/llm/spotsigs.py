@@ -86,6 +86,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
+def length_range(n: Column, threshold: float) -> Column:
+    """The partition of a set of ``n`` signatures: sets whose lengths differ by no more than the threshold allows are in one or in neighbouring partitions."""
+    return F.floor(F.log(n.cast("double")) / -F.log(F.lit(threshold))).cast("int")
+
+
+def alike(a: Column, b: Column, threshold: float = 0.8) -> Column:
+    """Whether two sorted sets reach the threshold: decided by their partitions and lengths, then by the prefixes that similar sets must share, and by Jaccard only if neither says no."""
+    n, m = F.size(a), F.size(b)
+    far = (F.abs(length_range(n, threshold) - length_range(m, threshold)) > 1) | (F.least(n, m) < threshold * F.greatest(n, m))
+    prefix = lambda x, k: F.slice(x, F.lit(1), (k - F.ceil(F.lit(threshold) * k) + 1).cast("int"))
+    out = F.when(far, False).when(~F.arrays_overlap(prefix(a, n), prefix(b, m)), False).otherwise(likeness(a, b) >= threshold)
+    return F.when((n == 0) | (m == 0), n == m).otherwise(out)
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", anchors: list[str] | None = None) -> DataFrame:
     """``docs`` with signatures and fingerprint; anchors are the common words of ``docs`` unless given."""
     anchors = common_words(docs, text_col) if anchors is None else anchors
@@ -106,8 +120,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     rows = classes.select("rep", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
     often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
     ranked = rows.join(often, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy("often", "sig")))
-    step = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold))).cast("int")
-    rare = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).withColumn("range", step)
+    rare = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).withColumn("range", length_range(F.col("n"), threshold))
     left = rare.select("sig", "range", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
     right = rare.select("sig", F.explode(F.sequence(F.col("range") - 1, F.col("range") + 1)).alias("range"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
     alike = (F.col("rep_a") < F.col("rep_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
@@ -174,6 +187,8 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        alike(F.col("sigs"), F.col("edited_sigs")).alias("alike_edited"),
+        alike(F.col("sigs"), F.col("next_sigs")).alias("alike_next"),
     )
 
 

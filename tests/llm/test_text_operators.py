@@ -383,7 +383,7 @@ def test_fingerprint_query(spark, tmp_path):
     rng = random.Random(18)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = [" ".join(rng.choices(vocabulary[:20], k=1)[0] if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(rng.randrange(1, 90))) for _ in range(60)]
-    texts += [None, "", "é😀 漢字 " * 30, "x", texts[3], "word " * 9_000]
+    texts += [None, "", "é😀 漢字 " * 30, "x", texts[3], texts[3], "word " * 9_000]
     table(spark, texts, True).write.parquet(str(tmp_path / "documents.parquet"))
     counts: dict = {}
     for t in texts:
@@ -403,6 +403,8 @@ def test_fingerprint_query(spark, tmp_path):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (line(own), line(other))
         assert (r.near_edited, r.near_next) == (near(own, other), near(own, nxt))
+        assert (r.alike_edited, r.alike_next) == (near(own, other) >= 0.8, near(own, nxt) >= 0.8)
+    assert any(r.alike_next for r in got.values())
 
 
 def test_chains_skip_any_number_of_anchors(spark):
@@ -422,6 +424,19 @@ def test_chains_skip_any_number_of_anchors(spark):
     assert got == {i: {zlib.crc32(x.encode()) for x in w} for i, w in enumerate(want)}
 
 
+def test_pruned_comparison_equals_jaccard(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(600):
+        a = set(rng.sample(range(60), rng.randrange(0, 40)))
+        b = {x for x in a if rng.random() < 0.93} | set(rng.sample(range(60), rng.randrange(0, 4))) if k % 3 else set(rng.sample(range(60), rng.randrange(0, 40)))
+        rows.append((sorted(a), sorted(b)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [r.x for r in df.select(spotsigs.alike(F.col("a"), F.col("b")).alias("x")).collect()]
+    want = [len({*a} & {*b}) / len({*a} | {*b}) >= 0.8 if a or b else True for a, b in rows]
+    assert got == want and 100 < sum(want) < 500
+
+
 def test_similar_pairs(spark):
     base = " ".join(f"the word{i} of place{i}" for i in range(40))
     texts = [base, base, base + " extra tail words", "the other words of places entirely different"]
