@@ -17,11 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one is set only where none is and all tasks run on one machine."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         if not configured and not context.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="edgewise-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
