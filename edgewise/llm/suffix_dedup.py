@@ -52,6 +52,8 @@ PIECE = 1_000_000
 MERGE_BYTES = 1_000_000
 SHARD_BYTES = 250_000
 HOT_BYTES = 1_000_000
+#: Most tasks that an exchange deals to; more groups share a task, which takes them one after the other.
+MOST_TASKS = 50_000
 LAST_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -302,7 +304,7 @@ def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     groups, parts = max(8, -(-size // GROUP_BYTES)), max(8, -(-size // PART_BYTES))
     texts_once = docs.mapInPandas(once_a_task, "doc long, mark long, mark2 long, data binary")
-    dealt = texts_once.withColumn("g", F.pmod("mark", F.lit(groups)).cast("int")).repartition(groups, "g")
+    dealt = texts_once.withColumn("g", F.pmod("mark", F.lit(groups)).cast("int")).repartition(min(groups, MOST_TASKS), "g")
 
     def keys_of(pdf: pd.DataFrame) -> pd.DataFrame:
         text, _, _, key = fragments(folded(pdf)["data"].tolist(), window)
@@ -353,7 +355,7 @@ def repeated_fragments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pd.DataFrame({"doc": doc, "mark": mark, "mark2": mark2, "start": start, "size": size, "key": key, "print": told, "low": low, "part": part})
 
     keys = dealt.groupBy("g").applyInPandas(keys_of, "p int, g int, keys binary, twice binary")
-    shared = keys.repartition(parts, "p").groupBy("p").applyInPandas(shared_of, "g int, p int, keys binary")
+    shared = keys.repartition(min(parts, MOST_TASKS), "p").groupBy("p").applyInPandas(shared_of, "g int, p int, keys binary")
     return dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(cut, FOUND)
 
 
@@ -380,7 +382,7 @@ def decided(found: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     cool = different.filter("NOT hot")
     size = cool.agg(F.sum(F.octet_length("part"))).first()[0] or 0
     tasks = max(8, -(-size // MERGE_BYTES))
-    placed = cool.select("key", "print", "part", "first", F.pmod("key", F.lit(tasks)).cast("int").alias("task")).repartition(max(8, tasks // 4), "task")
+    placed = cool.select("key", "print", "part", "first", F.pmod("key", F.lit(tasks)).cast("int").alias("task")).repartition(min(max(8, tasks // 4), MOST_TASKS), "task")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf["first"].to_numpy()
