@@ -245,12 +245,12 @@ def test_time_is_linear(unit):
 
     def took(n):
         page = unit * (n // len(unit))
-        began = time.perf_counter()
+        began = time.process_time()
         html_blocks.blocks_of(page)
-        return time.perf_counter() - began
+        return time.process_time() - began
 
     took(20_000)
-    assert took(800_000) < 16 * max(took(200_000), 0.05)
+    assert took(800_000) < 10 * max(took(200_000), 0.05)
 
 
 def test_extraction_of_tables(spark):
