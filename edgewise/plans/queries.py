@@ -328,6 +328,14 @@ def degree_distribution_trace(spark, sf_dir):
     return A.degree_distribution_trace(S.turnstile_graph(spark, sf_dir)).select("degree", "vertices")
 
 
+@query
+def degree_distribution_underflow(spark, sf_dir):
+    """More deletions than additions: degrees stop at zero, deletions there do nothing."""
+    op = F.when(F.col("seq") % 5 < 3, 1).otherwise(-1)
+    thinned = events(spark, sf_dir).edges.select("src", "dst", op.alias("op"), "seq")
+    return A.degree_distribution_trace(thinned.withColumn("dst", F.col("dst") % 7)).select("degree", "vertices")
+
+
 # --- summaries and library algorithms
 
 

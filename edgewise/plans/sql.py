@@ -83,6 +83,13 @@ SQL = {
         d AS (SELECT id, seq, sum(op) OVER (PARTITION BY id ORDER BY seq) AS new, op FROM e),
         c AS (SELECT new AS degree, 1 AS change, seq * 2 AS seq FROM d WHERE new > 0 UNION ALL SELECT new - op, -1, seq * 2 + 1 FROM d WHERE new - op > 0)
         SELECT degree::BIGINT AS degree, sum(change) OVER (PARTITION BY degree ORDER BY seq)::BIGINT AS vertices FROM c""",
+    "degree_distribution_underflow": G + """, o AS (SELECT src, dst % 7 AS dst, seq, CASE WHEN seq % 5 < 3 THEN 1 ELSE -1 END AS op FROM g),
+        e AS (SELECT src AS id, op, seq * 2 AS seq FROM o UNION ALL SELECT dst, op, seq * 2 + 1 FROM o),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM e),
+        walk(id, k, old, new, seq) AS (SELECT id, k, 0, greatest(op, 0), seq FROM r WHERE k = 1
+          UNION ALL SELECT r.id, r.k, w.new, greatest(w.new + r.op, 0), r.seq FROM walk w JOIN r ON r.id = w.id AND r.k = w.k + 1),
+        c AS (SELECT new AS degree, 1 AS change, seq * 2 AS seq FROM walk WHERE new <> old AND new > 0 UNION ALL SELECT old, -1, seq * 2 + 1 FROM walk WHERE new <> old AND old > 0)
+        SELECT degree::BIGINT AS degree, sum(change) OVER (PARTITION BY degree ORDER BY seq)::BIGINT AS vertices FROM c""",
     "connected_components": COMPONENTS,
     "connected_components_tree": COMPONENTS,
     "connected_components_iterative": COMPONENTS,
