@@ -42,6 +42,11 @@ def common_words(docs: DataFrame, text_col: str = "text", most: int = ANCHORS) -
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
+def checksum(said: Column) -> Column:
+    """32 bits of a digest."""
+    return F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("long")
+
+
 def content_word(anchors: list[str]) -> str:
     """Pattern of a whole word that is no anchor."""
     none_of = rf"(?!(?:{'|'.join(map(re.escape, anchors))})(?!{WORD}))" if anchors else ""
@@ -57,12 +62,12 @@ def signatures(text: Column, anchors: list[str]) -> Column:
         before = F.slice(p["between"], F.lit(1), F.greatest(F.size(p["content"]) - 1, F.lit(0)))
         chain = lambda i: F.concat_ws(":", F.get(p["content"], i), F.get(p["content"], i + 1))
         words = lambda gap: F.regexp_extract_all(gap, F.lit(f"{WORD}++"), F.lit(0))
-        return F.flatten(F.transform(before, lambda gap, i: F.transform(words(gap), lambda a: F.crc32(F.concat_ws(":", a, chain(i))))))
+        return F.flatten(F.transform(before, lambda gap, i: F.transform(words(gap), lambda a: checksum(F.concat_ws(":", a, chain(i))))))
 
     # An array of one struct, so that its two arrays are computed once a text.
     cut = F.array(F.struct(F.split(plain, content, -1).alias("between"), F.regexp_extract_all(plain, F.lit(content), F.lit(0)).alias("content")))
     chains = F.flatten(F.transform(cut, of_anchors))
-    pairs = F.transform(F.regexp_extract_all(plain, F.lit(PAIR), F.lit(1)), lambda m: F.crc32(F.array_join(F.split(m, GAP), ":")))
+    pairs = F.transform(F.regexp_extract_all(plain, F.lit(PAIR), F.lit(1)), lambda m: checksum(F.array_join(F.split(m, GAP), ":")))
 
     def distinct(sums: Column) -> Column:
         return F.sort_array(F.array_distinct(sums))
@@ -71,7 +76,7 @@ def signatures(text: Column, anchors: list[str]) -> Column:
         """``first`` unless it is empty; evaluated once, the second only where needed."""
         return F.get(F.transform(F.array(first), lambda s: F.when(F.size(s) > 0, s).otherwise(second)), F.lit(0))
 
-    whole = F.when(plain.rlike(WORD), F.array(F.crc32(plain))).otherwise(F.array().cast("array<bigint>"))
+    whole = F.when(plain.rlike(WORD), F.array(checksum(plain))).otherwise(F.array().cast("array<bigint>"))
     return or_else(distinct(chains), or_else(distinct(pairs), whole))
 
 
@@ -192,6 +197,38 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
     )
 
 
+#: A text's words are unnested with the number of content words before each; an anchor's chain is read off the list of content words.
+OP9_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+following AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM docs),
+edited AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM following),
+texts AS (SELECT doc_id, 'own' AS kind, lower(text) AS plain FROM docs UNION ALL SELECT doc_id, 'edited', lower(edited) FROM edited UNION ALL SELECT doc_id, 'next', lower(next_text) FROM edited),
+lists AS (SELECT *, regexp_extract_all(plain, '[\\p{L}\\p{N}]+') AS w FROM texts),
+anchors AS (SELECT word FROM (SELECT unnest(w) AS word FROM lists WHERE kind = 'own') GROUP BY word ORDER BY count(*) DESC, word LIMIT 64),
+words AS (SELECT doc_id, kind, i, word, word IN (SELECT word FROM anchors) AS anchor FROM (SELECT doc_id, kind, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM lists)),
+ranked AS (SELECT *, sum(CASE WHEN anchor THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, kind ORDER BY i) AS before FROM words),
+content AS (SELECT doc_id, kind, before AS r, word, lead(word) OVER (PARTITION BY doc_id, kind ORDER BY i) AS after FROM ranked WHERE NOT anchor),
+chains AS (SELECT a.doc_id, a.kind, a.word || ':' || c.word || ':' || c.after AS said FROM ranked a JOIN content c ON c.doc_id = a.doc_id AND c.kind = a.kind AND c.r = a.before + 1
+  WHERE a.anchor AND c.after IS NOT NULL),
+without AS (SELECT doc_id, kind, plain, w FROM lists WHERE (doc_id, kind) NOT IN (SELECT DISTINCT (doc_id, kind) FROM chains)),
+said AS (
+  SELECT doc_id, kind, said FROM chains
+  UNION ALL SELECT doc_id, kind, w[i] || ':' || w[i + 1] FROM (SELECT doc_id, kind, w, unnest(range(1, len(w))) AS i FROM without WHERE len(w) > 1)
+  UNION ALL SELECT doc_id, kind, plain FROM without WHERE len(w) = 1),
+sigs AS (SELECT DISTINCT doc_id, kind, ('0x' || substr(md5(said), 1, 8))::BIGINT AS sig FROM said),
+prints AS (SELECT doc_id, string_agg(sig::VARCHAR, ' ' ORDER BY sig) FILTER (kind = 'own') AS fingerprint, string_agg(sig::VARCHAR, ' ' ORDER BY sig) FILTER (kind = 'edited') AS edited_fingerprint,
+    count(*) FILTER (kind = 'own') AS n, count(*) FILTER (kind = 'edited') AS n_edited, count(*) FILTER (kind = 'next') AS n_next FROM sigs GROUP BY doc_id),
+common AS (SELECT o.doc_id, count(*) FILTER (x.kind = 'edited') AS c_edited, count(*) FILTER (x.kind = 'next') AS c_next
+  FROM sigs o JOIN sigs x ON x.doc_id = o.doc_id AND x.sig = o.sig AND x.kind <> 'own' WHERE o.kind = 'own' GROUP BY o.doc_id),
+counted AS (SELECT doc_id, text, edited, coalesce(fingerprint, '') AS fingerprint, coalesce(edited_fingerprint, '') AS edited_fingerprint, coalesce(n, 0) AS n,
+    coalesce(n_edited, 0) AS n_edited, coalesce(n_next, 0) AS n_next, coalesce(c_edited, 0) AS c_edited, coalesce(c_next, 0) AS c_next
+  FROM edited LEFT JOIN prints USING (doc_id) LEFT JOIN common USING (doc_id)),
+near AS (SELECT *, CASE WHEN n + n_edited = 0 THEN 1.0::DOUBLE ELSE c_edited::DOUBLE / (n + n_edited - c_edited) END AS near_edited,
+    CASE WHEN n + n_next = 0 THEN 1.0::DOUBLE ELSE c_next::DOUBLE / (n + n_next - c_next) END AS near_next FROM counted)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+  near_edited >= 0.8 AS alike_edited, near_next >= 0.8 AS alike_next
+FROM near
+"""
+
 QUERIES = {"op9_spotsigs": op9_query}
-#: Patterns with lookahead are beyond DuckDB; the query is tested against brute force.
-SQL: dict[str, str] = {}
+SQL = {"op9_spotsigs": OP9_SQL}
