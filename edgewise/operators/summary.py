@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgewise.operators.forests import forest_components
 from edgewise.operators.snapshot import window_end
 from edgewise.operators.summaries.adjacency import AdjacencyGraph
 from edgewise.operators.summaries.disjoint_set import DisjointSet, SignedComponents
@@ -37,6 +38,8 @@ class Summary:
     ``merge_window``: tumbling windows of event time; None treats the whole input as one window, and on a stream
     each micro-batch. ``transient`` gives a result for each window alone; else each window's result holds all before it.
     ``degree`` > 1 merges partial summaries in a tree of that many at a time. Results do not depend on it.
+    ``spread`` takes (edges, degree) and gives the rows of a batch without windows, for summaries whose state is as large as the
+    graph: partial summaries are then merged over the cluster, not in one task.
     """
 
     initial: Callable[[], object]
@@ -47,6 +50,7 @@ class Summary:
     merge_window: str | None = None
     transient: bool = False
     degree: int = 0
+    spread: Callable[[DataFrame, int], DataFrame] | None = None
 
     def fold(self, state: object, sources: list, targets: list, values: list) -> None:
         for a, b, v in zip(sources, targets, values, strict=True):
@@ -99,6 +103,8 @@ class Summary:
             from edgewise.streaming.processors import run_summary
 
             return run_summary(self, stream)
+        if self.spread and not self.merge_window:
+            return self.spread(stream.edges, self.degree).withColumn("window_end", F.lit(None).cast("long"))
         partial = self._partial(self.edges_of(stream))
         if self.degree > 1:
             partial = materialize(partial)
@@ -132,7 +138,7 @@ def components_summary(merge_window: str | None = None, transient: bool = False,
     return Summary(
         DisjointSet, lambda s, a, b, v: s.union(a, b), lambda s, o: s.merge(o),
         lambda s: [(x, low) for low, members in s.groups().items() for x in members], "id long, component long",
-        merge_window, transient, degree,
+        merge_window, transient, degree, lambda edges, degree: forest_components(edges, degree=degree)[0].select("id", "component"),
     )
 
 
@@ -144,9 +150,15 @@ def bipartite_summary(merge_window: str | None = None, transient: bool = False,
             return [(False, None, None, None)]
         return [(True, c, v, sign) for c, members in s.components().items() for v, sign in members.items()]
 
+    def spread(edges: DataFrame, degree: int) -> DataFrame:
+        sides, failed = forest_components(edges, signed=True, degree=degree)
+        if failed:
+            return edges.sparkSession.createDataFrame([(False, None, None, None)], "bipartite boolean, component long, id long, sign boolean")
+        return sides.select(F.lit(True).alias("bipartite"), "component", "id", (F.col("minus") == 0).alias("sign"))
+
     return Summary(
         SignedComponents, lambda s, a, b, v: s.add(a, b), lambda s, o: s.merge(o), rows,
-        "bipartite boolean, component long, id long, sign boolean", merge_window, transient, degree,
+        "bipartite boolean, component long, id long, sign boolean", merge_window, transient, degree, spread,
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from edgewise.operators import algorithms as A
 from edgewise.operators.components import connected_components
 from edgewise.operators.edge_stream import EdgeStream
+from edgewise.operators.forests import forest_components
 from edgewise.operators.summaries.adjacency import AdjacencyGraph
 from edgewise.operators.summaries.disjoint_set import DisjointSet, SignedComponents
 from edgewise.operators.summary import bipartite_summary, components_summary
@@ -257,3 +258,53 @@ def test_running_max_over_buckets(spark):
     df = spark.createDataFrame(list(enumerate(values)), "seq long, v long")
     got = [r.m for r in running(df, "seq", F.col("v"), "max", "m").orderBy("seq").collect()]
     assert got == [5, 5, 9, 9, 9, 12, 12]
+
+
+def plain_sides(rows):
+    """Vertex to (smallest vertex of its component, sign or None), by walks over the plain graph."""
+    near = {}
+    for a, b, *_ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for low in sorted(near):
+        if low in out:
+            continue
+        sign, layer, odd = {low: True}, [low], False
+        for x in layer:
+            for y in near[x]:
+                odd |= sign.get(y) == sign[x]
+                if y not in sign:
+                    sign[y] = not sign[x]
+                    layer.append(y)
+        out |= {v: (low, None if odd else s) for v, s in sign.items()}
+    return out
+
+
+EVEN = [(a, 1000 + b, v) for a, b, v in random_edges(11, 150, 140)]
+
+
+@pytest.mark.parametrize(("rows", "degree"), [(EVEN, 2), ([*EVEN, (1000, 1001), (0, 1000), (0, 1001), (5, 5)], 0), ([(i + 1, i) for i in range(90)], 2)])
+def test_forests_in_chunks(spark, rows, degree):
+    """Chunks of seven edges, so that every component has rows of many forests; no step gathers the graph in one task."""
+    edges, want = stream(spark, rows).edges, plain_sides(rows)
+    found, odd = forest_components(edges, signed=True, degree=degree, chunk=7)
+    got = {r.id: (r.component, None if r.conflict else r.minus == 0) for r in found.collect()}
+    assert got == want and odd == any(s is None for _, s in want.values())
+    plain, _ = forest_components(edges, degree=degree, chunk=7)
+    assert {r.id: r.component for r in plain.collect()} == {v: c for v, (c, _) in want.items()}
+
+
+@pytest.mark.parametrize("summary", [bipartite_summary(), components_summary(degree=2)])
+def test_summaries_of_a_graph_are_merged_over_the_cluster(spark, summary):
+    found = stream(spark, EVEN).aggregate(summary)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "RoundRobinPartitioning(1)" not in plan and "REPARTITION_BY_NUM" not in plan
+    assert {r.id: r.component for r in found.collect()} == {v: c for v, (c, _) in plain_sides(EVEN).items()}
+
+
+def test_components_of_names_by_forests(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", None), ("d", "b")], "src string, dst string")
+    found, odd = forest_components(edges, signed=True)
+    assert {(r.id, r.component, r.minus) for r in found.collect()} == {("a", "a", 0), ("b", "a", 1), ("d", "a", 0)} and not odd
+    assert forest_components(spark.createDataFrame([], "src long, dst long"))[0].count() == 0
