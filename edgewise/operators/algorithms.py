@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from edgewise.functions.running import running
 from edgewise.operators.components import connected_components
 from edgewise.operators.edge_stream import EdgeStream
+from edgewise.operators.forests import forest_components
 from edgewise.operators.summaries.adjacency import AdjacencyGraph
 from edgewise.session import materialize
 
@@ -38,24 +39,9 @@ def windowed_components(stream: EdgeStream, size: str) -> DataFrame:
 
 
 def bipartite_sides(stream: EdgeStream) -> DataFrame:
-    """(id, component, sign, conflict) from the components of the double cover.
-
-    Each vertex has two sides, each edge ties opposite ones. A vertex whose sides are tied lies on an odd
-    closed walk. Otherwise its sign is the side that is tied to the plus side of the smallest vertex.
-    """
-    side = lambda c, s: F.struct(F.col(c).alias("id"), F.lit(s).alias("minus"))
-    ties = F.array(
-        F.struct(side("src", 0).alias("src"), side("dst", 1).alias("dst")), F.struct(side("src", 1).alias("src"), side("dst", 0).alias("dst"))
-    )
-    cover = stream.edges.select(F.explode(ties).alias("tie")).select("tie.src", "tie.dst")
-    found = connected_components(cover)
-    by_vertex = found.groupBy(F.col("id.id").alias("id")).agg(
-        F.min(F.when(F.col("id.minus") == 0, F.col("component"))).alias("plus"), F.min(F.when(F.col("id.minus") == 1, F.col("component"))).alias("minus")
-    )
-    conflict = F.col("plus") == F.col("minus")
-    return by_vertex.select(
-        "id", F.least("plus.id", "minus.id").alias("component"), F.when(~conflict, F.col("plus.minus") == 0).alias("sign"), conflict.alias("conflict")
-    )
+    """(id, component, sign, conflict): sign is true on the side of the smallest vertex, null where an odd closed walk leaves no two-colouring."""
+    sides, _ = forest_components(stream.edges, signed=True)
+    return sides.select("id", "component", F.when(~F.col("conflict"), F.col("minus") == 0).alias("sign"), "conflict")
 
 
 def bipartite_check(stream: EdgeStream) -> DataFrame:
