@@ -12,7 +12,7 @@ from edgewise.functions.running import running
 from edgewise.operators.components import connected_components
 from edgewise.operators.edge_stream import EdgeStream
 from edgewise.operators.forests import forest_components
-from edgewise.operators.summaries.adjacency import AdjacencyGraph
+from edgewise.operators.summaries.spanner import SpannerGraph
 from edgewise.session import materialize
 
 # --- components ------------------------------------------------------------------------------------
@@ -146,11 +146,12 @@ def _in_order(rows: DataFrame) -> DataFrame:
 def spanner(stream: EdgeStream, k: int = 3) -> DataFrame:
     """(src, dst): greedy k-spanner in arrival order; an edge stays if its ends were more than k steps apart.
 
-    Each decision needs all before it, so one task does the fold. Edges that repeat, which never stay, go first.
+    Each decision needs all before it, so one task does the fold. Edges that repeat, which never stay, go first. For k = 3 a
+    decision is a few lookups a neighbour of the lesser end (see ``SpannerGraph``).
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = AdjacencyGraph()
+        graph = SpannerGraph()
         for frame in frames:
             kept = []
             for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):

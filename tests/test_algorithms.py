@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from edgewise.operators.edge_stream import EdgeStream
 from edgewise.operators.forests import forest_components
 from edgewise.operators.summaries.adjacency import AdjacencyGraph
 from edgewise.operators.summaries.disjoint_set import DisjointSet, SignedComponents
+from edgewise.operators.summaries.spanner import SpannerGraph
 from edgewise.operators.summary import bipartite_summary, components_summary
 from edgewise.sources import edges as S
 
@@ -308,3 +310,29 @@ def test_components_of_names_by_forests(spark):
     found, odd = forest_components(edges, signed=True)
     assert {(r.id, r.component, r.minus) for r in found.collect()} == {("a", "a", 0), ("b", "a", 1), ("d", "a", 0)} and not odd
     assert forest_components(spark.createDataFrame([], "src long, dst long"))[0].count() == 0
+
+
+@pytest.mark.parametrize("heavy", [1, 3, 32])
+def test_spanner_graph_decides_as_plain_search(monkeypatch, heavy):
+    monkeypatch.setattr(SpannerGraph, "HEAVY", heavy)
+    for n, targets in ((40, 40), (200, 12)):
+        plain, fast, rng = AdjacencyGraph(), SpannerGraph(), random.Random(n)
+        for _ in range(1500):
+            a, b = rng.randrange(n), rng.randrange(targets)
+            near = plain.within(a, b, 3)
+            assert fast.within(a, b, 3) == near
+            if not near:
+                plain.add_edge(a, b)
+                fast.add_edge(a, b)
+        assert plain.edges() == fast.edges()
+
+
+def test_spanner_decisions_do_not_walk_hubs():
+    graph, leaves = SpannerGraph(), 20_000
+    for leaf in range(2, leaves):
+        graph.add_edge(leaf, leaf % 2)
+    graph.add_edge(leaves, 0)
+    graph.add_edge(leaves, 1)
+    began = time.process_time()
+    assert all(graph.within(leaf, 1 - leaf % 2, 3) for leaf in range(2, 5000))
+    assert time.process_time() - began < 2  # a search layer by layer takes milliseconds each
