@@ -39,14 +39,24 @@ def running(
     placed = with_bucket(df.withColumn("_v", value), order, bool(by))
     ahead = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy(*by, "bucket").orderBy(order, *then)
-    here_upto, here_before = agg("_v").over(own.rowsBetween(Window.unboundedPreceding, 0)), agg("_v").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    inside = placed.withColumns({"_upto": here_upto, "_before": here_before} if before else {"_upto": here_upto})
-    carried = placed.groupBy(*by, "bucket").agg(agg("_v").alias("_b")).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("bucket").alias("_bucket"), agg("_b").over(ahead).alias("_c"))
-    same = F.col("bucket") == F.col("_bucket")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    upto_here, before_here = (lambda w: w.rowsBetween(Window.unboundedPreceding, 0)), (lambda w: w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = placed.groupBy(*by, "bucket").agg(agg("_v").alias("_b")).select(*by, "bucket", agg("_b").over(ahead).alias("_c"))
+    if by:
+        # What is carried goes ahead of a bucket's rows as one more row, so that the rows are shuffled once and joined with nothing.
+        marks = carried.filter("_c IS NOT NULL").select(*by, "bucket", F.col("_c").alias("_v"), F.lit(True).alias("_mark"))
+        rows = placed.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+        own = Window.partitionBy(*by, "bucket").orderBy(F.col("_mark").desc(), order, *then)
+        whole = (lambda c: F.coalesce(c, F.lit(0))) if kind == "sum" else (lambda c: c)
+        sums = {name: whole(agg("_v").over(upto_here(own)))}
+        if before:
+            sums[before] = whole(agg("_v").over(before_here(own)))
+        return rows.withColumns(sums).filter("NOT _mark").drop("_v", "_mark", "bucket")
+    sums = {"_upto": agg("_v").over(upto_here(own))}
+    if before:
+        sums["_before"] = agg("_v").over(before_here(own))
+    inside = placed.withColumns(sums)
     # Without keys there are at most 256 rows to carry.
-    joined = inside.join(carried if by else F.broadcast(carried), same)
+    joined = inside.join(F.broadcast(carried.withColumnRenamed("bucket", "_bucket")), F.col("bucket") == F.col("_bucket"))
 
     def upto(here: Column) -> Column:
         if kind == "sum":
@@ -56,4 +66,4 @@ def running(
     out = joined.withColumn(name, upto(F.col("_upto")))
     if before:
         out = out.withColumn(before, upto(F.col("_before")))
-    return out.drop("_v", "_c", "_upto", "_before", "bucket", "_bucket", *[f"_by_{c}" for c in by])
+    return out.drop("_v", "_c", "_upto", "_before", "bucket", "_bucket")

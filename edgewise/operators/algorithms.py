@@ -13,7 +13,10 @@ from edgewise.operators.components import connected_components
 from edgewise.operators.edge_stream import EdgeStream
 from edgewise.operators.forests import forest_components
 from edgewise.operators.summaries.spanner import SpannerGraph
-from edgewise.session import materialize
+from edgewise.session import materialize, stored
+
+#: Edges that can close a triangle are sent to every task up to this number.
+CLOSING_ROWS = 300_000
 
 # --- components ------------------------------------------------------------------------------------
 
@@ -65,15 +68,21 @@ def triangles(edges: DataFrame, *keep: str) -> DataFrame:
     Edges point from the end of smaller degree to the larger, so a vertex spans at most about the root
     of twice the edges' number squared of wedges, however large a hub is.
     """
+    out = _upward(edges, *keep).select(*keep, "x", "y")
+    wedges = out.join(out.select(*keep, "x", F.col("y").alias("z")), [*keep, "x"]).filter(F.col("y") < F.col("z"))
+    closing = edges.select(*keep, F.col("a").alias("y"), F.col("b").alias("z"))
+    return wedges.join(closing, [*keep, "y", "z"]).select(*keep, "x", "y", "z")
+
+
+def _upward(edges: DataFrame, *keep: str) -> DataFrame:
+    """``edges`` (keep, a, b and others) with x, y for a, b: x the end of smaller degree."""
     ends = edges.select(*keep, F.explode(F.array("a", "b")).alias("v")).groupBy(*keep, "v").agg(F.count(F.lit(1)).alias("d"))
     known = edges.join(ends.select(*keep, F.col("v").alias("a"), F.col("d").alias("da")), [*keep, "a"])
     known = known.join(ends.select(*keep, F.col("v").alias("b"), F.col("d").alias("db")), [*keep, "b"])
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     low, high = F.when(up, F.col("a")).otherwise(F.col("b")), F.when(up, F.col("b")).otherwise(F.col("a"))
-    out = known.select(*keep, low.alias("x"), high.alias("y"))
-    wedges = out.join(out.select(*keep, "x", F.col("y").alias("z")), [*keep, "x"]).filter(F.col("y") < F.col("z"))
-    closing = edges.select(*keep, F.col("a").alias("y"), F.col("b").alias("z"))
-    return wedges.join(closing, [*keep, "y", "z"]).select(*keep, "x", "y", "z")
+    rest = [c for c in edges.columns if c not in (*keep, "a", "b")]
+    return known.select(*keep, low.alias("x"), high.alias("y"), *rest)
 
 
 def exact_triangles(stream: EdgeStream) -> DataFrame:
@@ -82,15 +91,47 @@ def exact_triangles(stream: EdgeStream) -> DataFrame:
     return found.select(F.explode(F.array("x", "y", "z", F.lit(-1).cast("long"))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
 
 
-def triangle_trace(stream: EdgeStream) -> DataFrame:
-    """(id, triangles, seq): running counts, each triangle at its last edge; the global count as id -1."""
+def _dated_triangles(stream: EdgeStream) -> tuple[DataFrame, bool]:
+    """(third, a, b, seq) of each triangle at its last edge a - b, from the first edge of each pair; and whether edges share a seq.
+
+    Wedges stay where their lowest vertex is. Only edges between two upper ends can close one; if these are few they are sent to
+    the wedges, so that wedges, many more than edges, are not shuffled.
+    """
     first = stream.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "seq").filter("a < b").groupBy("a", "b").agg(F.min("seq").alias("seq"))
-    found = triangles(first.select("a", "b"))
-    corner = lambda p, q, s: first.select(F.col("a").alias(p), F.col("b").alias(q), F.col("seq").alias(s))
-    ordered = found.select(F.array_sort(F.array("x", "y", "z")).alias("v")).select(F.col("v")[0].alias("p"), F.col("v")[1].alias("q"), F.col("v")[2].alias("r"))
-    timed = ordered.join(corner("p", "q", "s1"), ["p", "q"]).join(corner("q", "r", "s2"), ["q", "r"]).join(corner("p", "r", "s3"), ["p", "r"])
-    events = timed.select(F.greatest("s1", "s2", "s3").alias("seq"), F.explode(F.array("p", "q", "r", F.lit(-1).cast("long"))).alias("id"))
-    each = materialize(events.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("n")))
+    first = stored(first)
+    tied = not first.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    out = stored(_upward(first))
+    tops = out.select("y").distinct()
+    closing = first.select(F.col("a").alias("y"), F.col("b").alias("z"), F.col("seq").alias("s3"))
+    closing = stored(closing.join(tops, "y", "left_semi").join(tops.withColumnRenamed("y", "z"), "z", "left_semi"))
+    lower = out.select("x", "y", F.col("seq").alias("s1"))
+    wedges = lower.join(out.select("x", F.col("y").alias("z"), F.col("seq").alias("s2")), "x").filter("y < z")
+    found = wedges.join(F.broadcast(closing) if closing.count() <= CLOSING_ROWS else closing, ["y", "z"])
+    seq = F.greatest("s1", "s2", "s3")
+    last = lambda third, a, b: F.struct(F.col(third).alias("third"), F.col(a).alias("a"), F.col(b).alias("b"))
+    end = F.when(F.col("s1") == seq, last("z", "x", "y")).when(F.col("s2") == seq, last("y", "x", "z")).otherwise(last("x", "y", "z"))
+    return found.select(seq.alias("seq"), end.alias("e")).select("e.third", "e.a", "e.b", "seq"), tied
+
+
+def triangle_trace(stream: EdgeStream, whole: bool = True, local: bool = True) -> DataFrame:
+    """(id, triangles, seq): running counts, each triangle at its last edge; ``whole`` for the global count as id -1, ``local`` for those by vertex."""
+    found, tied = _dated_triangles(stream)
+    one = F.lit(1).cast("long")
+    parts = []
+    if whole:
+        counted = found.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counted.select(F.lit(-1).cast("long").alias("id"), "seq", "n"))
+    if local:  # the ends of a last edge take all its triangles at once; the third vertex has one of them
+        ends = found.groupBy("seq", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        parts += [found.select(F.col("third").alias("id"), "seq", one.alias("n")), ends.select(F.explode(F.array("a", "b")).alias("id"), "seq", "n")]
+    each = parts[0]
+    for part in parts[1:]:
+        each = each.unionByName(part)
+    if tied:
+        each = each.groupBy("id", "seq").agg(F.sum("n").alias("n"))
+    each = stored(each)
+    if not local:
+        return running(each, "seq", F.col("n"), name="triangles").select("id", "triangles", "seq")
     return running(each, "seq", F.col("n"), name="triangles", by=("id",)).select("id", "triangles", "seq")
 
 

@@ -310,12 +310,12 @@ def exact_triangles_local(spark, sf_dir):
 
 @query
 def triangle_trace(spark, sf_dir):
-    return A.triangle_trace(events(spark, sf_dir)).filter("id = -1").select("seq", "triangles")
+    return A.triangle_trace(events(spark, sf_dir), local=False).select("seq", "triangles")
 
 
 @query
 def triangle_trace_local(spark, sf_dir):
-    return A.triangle_trace(events(spark, sf_dir)).filter("id >= 0")
+    return A.triangle_trace(events(spark, sf_dir), whole=False)
 
 
 @query

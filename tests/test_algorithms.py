@@ -336,3 +336,29 @@ def test_spanner_decisions_do_not_walk_hubs():
     began = time.process_time()
     assert all(graph.within(leaf, 1 - leaf % 2, 3) for leaf in range(2, 5000))
     assert time.process_time() - began < 2  # a search layer by layer takes milliseconds each
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("tied", [False, True])
+def test_triangle_traces_without_shuffled_wedges(spark, monkeypatch, few, tied):
+    rows = random_edges(21, 25, 160)
+    g = stream(spark, rows)
+    if tied:
+        g = EdgeStream(g.edges.withColumn("seq", F.floor(F.col("seq") / 3).cast("long")))
+    monkeypatch.setattr(A, "CLOSING_ROWS", few)
+    first = {}
+    for i, (a, b, _) in enumerate(rows):
+        if a != b:
+            first.setdefault((min(a, b), max(a, b)), i // 3 if tied else i)
+    want = {}
+    for t in plain_triangles(rows):
+        seq = max(first[e] for e in itertools.combinations(t, 2))
+        for v in (*t, -1):
+            want[v, seq] = want.get((v, seq), 0) + 1
+    totals, running_want = {}, {}
+    for v, seq in sorted(want, key=lambda k: k[1]):
+        totals[v] = running_want[v, seq] = totals.get(v, 0) + want[v, seq]
+    got = A.triangle_trace(g).collect()
+    assert len(got) == len(running_want) and {(r.id, r.seq): r.triangles for r in got} == running_want
+    plan = A.triangle_trace(g, whole=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 0  # a bucket's rows are shuffled once, and joined with nothing
