@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgewise.functions.ordered import fold_in_order
 from edgewise.functions.running import running
 from edgewise.operators.components import connected_components
 from edgewise.operators.edge_stream import EdgeStream
@@ -179,11 +180,6 @@ def degree_distribution_trace(edges: DataFrame) -> DataFrame:
 # --- order-dependent algorithms --------------------------------------------------------------------
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    """All rows in one partition by ``seq``, for folds whose every step needs all before it: a task reads them batch by batch and holds only its state."""
-    return rows.repartition(1).sortWithinPartitions("seq")
-
-
 def spanner(stream: EdgeStream, k: int = 3) -> DataFrame:
     """(src, dst): greedy k-spanner in arrival order; an edge stays if its ends were more than k steps apart.
 
@@ -203,7 +199,7 @@ def spanner(stream: EdgeStream, k: int = 3) -> DataFrame:
 
     pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
     first = stream.edges.filter("src != dst").groupBy(*pair).agg(F.min(F.struct("seq", "src", "dst")).alias("e")).select("e.*")
-    return _in_order(first).mapInPandas(fold, "src long, dst long")
+    return fold_in_order(first, "seq", fold, "src long, dst long")
 
 
 def matching_events(stream: EdgeStream) -> DataFrame:
@@ -230,7 +226,7 @@ def matching_events(stream: EdgeStream) -> DataFrame:
             yield events.assign(at=range(at, at + len(events)))[["at", "event", "src", "dst", "value"]]
             at += len(events)
 
-    return _in_order(stream.edges.select("src", "dst", "value", "seq")).mapInPandas(fold, "at long, event string, src long, dst long, value long")
+    return fold_in_order(stream.edges.select("src", "dst", "value", "seq"), "seq", fold, "at long, event string, src long, dst long, value long")
 
 
 def weighted_matching(stream: EdgeStream) -> DataFrame:

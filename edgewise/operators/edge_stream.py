@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgewise.functions.ordered import fold_in_order
 from edgewise.functions.running import running
 from edgewise.operators.snapshot import Snapshot
 
@@ -188,8 +189,9 @@ class EdgeStream:
                 yield pd.DataFrame(out, columns=names, dtype=object)
 
         rows = self._mapped(edge_mapper)
-        placed = rows.repartition(1).sortWithinPartitions("seq") if whole else rows.repartition("id").sortWithinPartitions("id", "seq")
-        return placed.mapInPandas(run, schema)
+        if whole:
+            return fold_in_order(rows, "seq", run, schema)
+        return rows.repartition("id").sortWithinPartitions("id", "seq").mapInPandas(run, schema)
 
     def global_aggregate(self, value: EdgeExpression, kind: str = "sum", updates: bool = False, trace: bool = True) -> DataFrame:
         """(value): the running sum, max or min of a value of each edge over the whole stream.

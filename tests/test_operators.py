@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from edgewise.functions.ordered import fold_in_order
 from edgewise.operators.edge_stream import EdgeStream
 from edgewise.sources import edges as S
 
@@ -153,3 +154,20 @@ def test_generators(spark):
     assert S.generate(spark, "ring", 1000).count() == 2000
     assert S.generate(spark, "bipartite").count() == 1000
     assert column(S.generate(spark, "near", 2), "src", "dst") == [(1, 2), (1, 3), (2, 3), (2, 4)]
+
+
+def test_whole_folds_order_blocks_not_rows(spark, monkeypatch):
+    """One task orders packed blocks: its sort sees a block's number, not the rows."""
+    monkeypatch.setattr("edgewise.functions.ordered.BLOCK", 3)
+    rows = spark.range(100).select((F.col("id") * 37 % 100).alias("seq"), (F.col("id") * 37 % 100 * 2).alias("v"))
+    rows = rows.repartition(7)
+
+    def fold(frames):
+        at = 0
+        for frame in frames:
+            yield frame.assign(at=range(at, at + len(frame)))[["at", "v"]]
+            at += len(frame)
+
+    found = fold_in_order(rows, "seq", fold, "at long, v long")
+    assert {r.at: r.v for r in found.collect()} == {i: 2 * i for i in range(100)}
+    assert "Sort [first#" in found._jdf.queryExecution().sparkPlan().toString()
