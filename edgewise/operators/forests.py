@@ -1,7 +1,8 @@
 """Components and two-colourings by partial forests: tasks shrink their edges to forests, whose roots are then tied by contraction.
 
 Edges are placed by ranges of their ends, so that edges of the same vertices meet, and read in chunks of ``CHUNK``; no task
-holds more. A chunk leaves one row a vertex: the smallest vertex of its component there, and the side it lies on.
+holds more. A chunk leaves one row a vertex: the smallest vertex of its component there, and the side it lies on. A range holds
+about half a chunk however many edges there are: chunks of a wider range would have rows of the same vertices again and again.
 A vertex with rows of several roots ties these; the ties, far fewer than the edges, are contracted over the cluster.
 """
 
@@ -109,7 +110,12 @@ def _forest(edges: DataFrame, signed: bool, degree: int, chunk: int) -> DataFram
         if rest:
             yield batch(merged(rest) if len(rest) > 1 else rest[0])
 
-    return rows.repartitionByRange("src", "dst").mapInArrow(fold, schema)
+    ranges = -(-2 * rows.count() // chunk)
+    if ranges > rows.sparkSession.sparkContext.defaultParallelism:
+        placed = rows.repartitionByRange(ranges, "src", "dst")
+    else:  # the session's number, small ones joined
+        placed = rows.repartitionByRange("src", "dst")
+    return placed.mapInArrow(fold, schema)
 
 
 def _sides(ties: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def forest_components(edges: DataFrame, signed: bool = False, degree: int = 0, c
     """(id, component, minus, conflict) for every vertex, and whether there is any conflict.
 
     A component is named by its smallest vertex; ``minus`` is 1 on the side opposite to it, ``conflict`` true in components without a
-    two-colouring. Both are 0 and false unless ``signed``. Rows with a null end are ignored. Small jobs run when this is called.
+    two-colouring. Both are 0 and false unless ``signed``. Rows with a null end are ignored. All but the last join runs when this is called.
     """
     by_id = Window.partitionBy("id").orderBy("root", "side")
     before = {"last": F.lag("root").over(by_id), "last_side": F.lag("side").over(by_id)}

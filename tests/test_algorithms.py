@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from edgewise.operators import algorithms as A
 from edgewise.operators.components import connected_components
 from edgewise.operators.edge_stream import EdgeStream
-from edgewise.operators.forests import forest_components
+from edgewise.operators.forests import _forest, forest_components
 from edgewise.operators.summaries.adjacency import AdjacencyGraph
 from edgewise.operators.summaries.disjoint_set import DisjointSet, SignedComponents
 from edgewise.operators.summaries.spanner import SpannerGraph
 from edgewise.operators.summary import bipartite_summary, components_summary
+from edgewise.session import settings
 from edgewise.sources import edges as S
 
 SIX = [(1, 2), (1, 3), (2, 3), (1, 5), (6, 7), (8, 9)]
@@ -305,6 +306,22 @@ def test_summaries_of_a_graph_are_merged_over_the_cluster(spark, summary):
     assert {r.id: r.component for r in found.collect()} == {v: c for v, (c, _) in plain_sides(EVEN).items()}
 
 
+def test_forest_rows_grow_with_the_edges(spark):
+    """Copies of a dense graph, their edges mixed: eight times the copies leave about eight times the rows, and the same answer."""
+
+    def copies(n):
+        rows = [(100 * i + a, 100 * i + 50 + b) for i in range(n) for a in range(10) for b in range(10)]
+        random.Random(n).shuffle(rows)
+        return stream(spark, rows).edges
+
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):  # a chunk is at least a batch
+        few, many = (_forest(copies(n), True, 0, 200).count() for n in (10, 80))
+        sides, odd = forest_components(copies(80), signed=True, chunk=200)
+        got = {(r.id, r.component, r.minus) for r in sides.collect()}
+    assert few >= 200 and many <= 10 * few
+    assert got == {(100 * i + 50 * s + a, 100 * i, s) for i in range(80) for s in (0, 1) for a in range(10)} and not odd
+
+
 def test_components_of_names_by_forests(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", None), ("d", "b")], "src string, dst string")
     found, odd = forest_components(edges, signed=True)
